@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from logweft.llm.common import map_texts
 
 MARK = "▁"
-#: Chunks remembered in a task, and pairs of tokens.
-REMEMBERED = 300_000
+#: Words and pairs of tokens that a worker remembers.
+REMEMBERED, PAIRS = 500_000, 400_000
 LONGEST_REMEMBERED = 64
 PROBE = "  ﬁ é\t　x \n"
 
@@ -57,8 +57,9 @@ class PieceBPE:
         crossing = any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:]))
         if crossing:
             raise ValueError("pieces over word ends are not handled")
+        self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.compatible = lru_cache(REMEMBERED)(self._compatible)
+        self.pairs: dict[tuple[str, str], bool] = {}
         # a piece that merging can't build never stands in an encoding
         self.whole = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.shorter: dict[str, str | None] = {}
@@ -91,34 +92,49 @@ class PieceBPE:
             offer(i, after[i])
         return [p for p in at if p]
 
-    def _compatible(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == [left, right]
+    def compatible(self, left: str, right: str) -> bool:
+        got = self.merged(left + right) == [left, right]
+        if len(self.pairs) < PAIRS:
+            self.pairs[left, right] = got
+        return got
 
     def split(self, text: str) -> list[str]:
         """The pieces of a chunk; characters outside the vocabulary stand alone."""
-        longest = [1] * len(text)
-        for end, k in self.search.iter(text):
-            if k > longest[end - k + 1]:
-                longest[end - k + 1] = k
+        n, known, shorter = len(text), self.pairs.get, self.shorter
+        longest = [1] * n
+        for end, k in self.search.iter(text):  # ends rise, so the last match from a place is its longest
+            longest[end - k + 1] = k
         tokens: list[str] = []
-        failed = bytearray(len(text) // 8 + 1)
-        at, token = 0, text[: longest[0]] if text else None
-        while token is not None:
+        failed: bytearray | None = None
+        at, last, token = 0, None, text[: longest[0]]
+        while True:
+            fits = last is None or known((last, token))
+            if fits is None:
+                fits = self.compatible(last, token)
             end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not tokens or self.compatible(tokens[-1], token)):
+            if fits and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                 tokens.append(token)
-                at, token = end, text[end : end + longest[end]] if end < len(text) else None
+                if end == n:
+                    return tokens
+                at, last, token = end, token, text[end : end + longest[end]]
             elif len(token) > 1:
-                token = self.shorter[token]
+                token = shorter[token]
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
                 at -= len(token)
-        return tokens
+                last = tokens[-1] if tokens else None
 
     def chunk_ids(self, chunk: str) -> list[int]:
+        pieces = self.split(chunk)
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:
+            pass
         out: list[int] = []
-        for p in self.split(chunk):
+        for p in pieces:
             if p in self.ids:
                 out.append(self.ids[p])
             elif self.bytes:
@@ -189,7 +205,7 @@ FIELDS = [
 
 
 class Known(dict):
-    """Word to ids as text, their number and the decoded text, a space before each word being part of it.
+    """Word to ids as text, their number, and what they decode to if that is not the word after a space.
 
     A chunk starts with the space mark, which is a piece, so no run of byte ids goes over the end of a chunk and chunks
     can be decoded one by one.
@@ -198,9 +214,16 @@ class Known(dict):
     def __init__(self, bpe: PieceBPE):
         self.bpe = bpe
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
-        ids = self.bpe.chunk_ids(MARK + word)
-        got = " ".join(map(str, ids)), len(ids), self.bpe.read(ids)
+    def __missing__(self, word: str) -> tuple[str, int, str | None]:
+        if 1 < len(word) <= LONGEST_REMEMBERED and word[-2:] not in self.bpe.beside:
+            # no piece has these two characters beside each other, so no merge goes over this place
+            first, end = self[word[:-1]], self.bpe.chunk_ids(word[-1])
+            ids, last = first[0].split(" ") + end, self.bpe.read(end)
+            back = (" " + word[:-1] if first[2] is None else first[2]) + last
+        else:
+            ids = self.bpe.chunk_ids(MARK + word)
+            back = self.bpe.read(ids)
+        got = " ".join(map(str, ids)), len(ids), None if back[:1] == " " and back[1:] == word else back
         if len(self) < REMEMBERED and len(word) <= LONGEST_REMEMBERED:
             self[word] = got
         return got
@@ -221,9 +244,13 @@ def _digests(model_file: str):
             else:
                 words = text.split(" ")
             ids, numbers, back = zip(*map(known.__getitem__, words)) if words else ((), (), ())
+            if any(back):
+                text = "".join([" " + w if b is None else b for w, b in zip(words, back)])[1:]
+            else:
+                text = " ".join(words)
             counts.append(sum(numbers) + 1)
             shas.append(hashlib.sha256(" ".join((*ids, str(bpe.end))).encode()).hexdigest())
-            decoded.append(hashlib.sha256("".join(back)[1:].encode("utf-8", "surrogatepass")).hexdigest())
+            decoded.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
         return [counts, shas, decoded]
 
     return work

@@ -171,7 +171,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Scorer(dict):
     """Word as it stands to score."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
