@@ -1,0 +1 @@
+"""Analytics for activity logs recovered from screenshots, on Spark DataFrames."""

@@ -1,0 +1 @@
+"""Column expressions: times of day, log lines, labels."""

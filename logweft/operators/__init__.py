@@ -1,0 +1 @@
+"""Operators over records, images and stages."""

@@ -1,0 +1 @@
+"""What is read: tables of events, images and their crops, sessions."""

@@ -1,0 +1 @@
+"""Records that arrive in files, merged batch by batch."""
