@@ -117,27 +117,33 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes (node, fp) that share a block and differ in at most WIDE_BITS bits.
 
     BLOCKS blocks of three bytes each, no two blocks having more than a byte in common: texts that differ in 12 % of
-    the bits share one with probability 0.9. All pairs of a block of up to BLOCK_PAIRS nodes are compared; in a larger one
-    each node is compared with the block's least and greatest, so work stays linear in a group's size.
+    the bits share one with probability 0.9. Nodes of a block of up to BLOCK_PAIRS are all compared there; in a larger one
+    each is compared with the block's least. So links stay linear in a group's size: two a member and block at most.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
     n = len(byte)
     steps = [(t, (t + 5) % n, (t + 13) % n) if t < n else (t - n, (t - n + 3) % n, (t - n + 14) % n) for t in range(BLOCKS)]
     keys = [F.lit(t << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for t, (i, j, k) in enumerate(steps)]
     placed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1")
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = cut(placed.join(shared, "key"))
-    small = members.where(F.col("n") <= BLOCK_PAIRS)
-    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    large = members.where(F.col("n") > BLOCK_PAIRS)
-    stars = large.select(F.explode(F.array("least", "most")).alias("a"), F.col("node").alias("b")).where("a <> b")
-    pairs = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    # the second join deals the pairs out by b, so that a node that very many are compared with is split where it can be
+    apart = lambda x, y: sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+    # at most BLOCK_PAIRS members: all are compared, and each gives the first and the last link to those before it
+    small = members.where(F.col("n") <= BLOCK_PAIRS).select("node", "key").join(nodes, "node")
+    block = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("block"))
+    near = F.transform("block", lambda y: F.struct(
+        y["node"].alias("b"), F.transform(F.filter("block", lambda x: (x["node"] < y["node"]) & (apart(x["fp"], y["fp"]) <= WIDE_BITS)), lambda x: x["node"]).alias("of")
+    ))
+    found = block.select(F.explode(F.filter(near, lambda x: F.size(x["of"]) > 0)).alias("x"))
+    pairs = found.select(F.explode(F.array_distinct(F.array(F.element_at("x.of", 1), F.element_at("x.of", -1)))).alias("a"), F.col("x.b").alias("b"))
+
+    # more: each is compared with the least; a pair that many blocks have is compared once
+    stars = members.where((F.col("n") > BLOCK_PAIRS) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     of = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     to = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    both = pairs.join(of, "a").join(to, "b")
-    apart = sum((F.bit_count(F.element_at("fa", w).bitwiseXOR(F.element_at("fb", w))) for w in range(2, WORDS + 1)), F.bit_count(F.element_at("fa", 1).bitwiseXOR(F.element_at("fb", 1))))
-    return both.where(apart <= WIDE_BITS).select("a", "b")
+    stars = stars.join(of, "a").join(to, "b").where(apart(F.col("fa"), F.col("fb")) <= WIDE_BITS).select("a", "b")
+    return pairs.unionByName(stars).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
