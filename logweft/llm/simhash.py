@@ -96,6 +96,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
 #: Wide fingerprints: 64-bit words, bytes of a block, blocks, and bits that near copies may differ in. Two texts whose
 #: five-word shingles are alike to 0.8 differ in about 31 of 256 bits.
 WORDS, BLOCK_BYTES, BLOCKS, WIDE_BITS = 4, 3, 48, 36
+#: Links of a node that components are made from.
+LINKS = 4
 #: Fixed odd multipliers that make further words of a hash.
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -124,26 +126,30 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     n = len(byte)
     steps = [(t, (t + 5) % n, (t + 13) % n) if t < n else (t - n, (t - n + 3) % n, (t - n + 14) % n) for t in range(BLOCKS)]
     keys = [F.lit(t << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for t, (i, j, k) in enumerate(steps)]
-    placed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = cut(placed.join(shared, "key"))
     apart = lambda x, y: sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    placed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    some = shared.where(F.col("n") <= BLOCK_PAIRS).withColumn("least_fp", F.lit(None).cast("array<bigint>"))
+    many = shared.where(F.col("n") > BLOCK_PAIRS).join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp")), "least")
+    # of a larger block only the members near its least one are passed on
+    blocks = some.unionByName(many).withColumnRenamed("key", "of_key")
+    near_least = F.col("least_fp").isNull() | ((F.col("node") > F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
+    members = cut(placed.join(blocks, (F.col("key") == F.col("of_key")) & near_least).select("node", "fp", "key", "n", "least"))
 
     # at most BLOCK_PAIRS members: all are compared, and each gives the first and the last link to those before it
-    small = members.where(F.col("n") <= BLOCK_PAIRS).select("node", "key").join(nodes, "node")
-    block = small.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("block"))
+    block = members.where(F.col("n") <= BLOCK_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("block"))
     near = F.transform("block", lambda y: F.struct(
         y["node"].alias("b"), F.transform(F.filter("block", lambda x: (x["node"] < y["node"]) & (apart(x["fp"], y["fp"]) <= WIDE_BITS)), lambda x: x["node"]).alias("of")
     ))
     found = block.select(F.explode(F.filter(near, lambda x: F.size(x["of"]) > 0)).alias("x"))
     pairs = found.select(F.explode(F.array_distinct(F.array(F.element_at("x.of", 1), F.element_at("x.of", -1)))).alias("a"), F.col("x.b").alias("b"))
+    stars = members.where(F.col("n") > BLOCK_PAIRS).select(F.col("least").alias("a"), F.col("node").alias("b"))
 
-    # more: each is compared with the least; a pair that many blocks have is compared once
-    stars = members.where((F.col("n") > BLOCK_PAIRS) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    of = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    to = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    stars = stars.join(of, "a").join(to, "b").where(apart(F.col("fa"), F.col("fb")) <= WIDE_BITS).select("a", "b")
-    return pairs.unionByName(stars).distinct()
+    # a node has two links a block at most, so this list is bounded; of many, the first, the last and two between are enough
+    of = pairs.unionByName(stars).distinct().groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("of"))
+    size = F.size("of")
+    kept = F.when(size <= LINKS, F.col("of")).otherwise(F.array(*[F.element_at("of", F.floor((size - 1) * k / (LINKS - 1)).cast("int") + 1) for k in range(LINKS)]))
+    return of.select(F.explode(kept).alias("a"), "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
