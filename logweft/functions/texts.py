@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNKNOWN = "Unknown"
 
@@ -50,7 +51,7 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike('[",\\n]'), quoted).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def two_places(values: pd.Series) -> pd.Series:
     """Two decimal places of the exact binary value, halves up. No built-in rounds so; for texts of reports only."""
     return values.map(lambda v: None if pd.isna(v) else str(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)))

@@ -14,7 +14,7 @@ WHOLE_TIME = r"^\[(\d{2}):(\d{2}):(\d{2})\]\z"
 
 
 def part(text: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(text, pattern, k).cast("int")
+    return F.regexp_extract(text, pattern, k).try_cast("int")
 
 
 def seconds_of_day(text: Column) -> Column:

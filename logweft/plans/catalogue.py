@@ -309,7 +309,7 @@ def ocr_summary(spark, sf_dir):
     return assets.result_summary(results(spark, sf_dir))
 
 
-PLACED = f"{REC}, at as (select 'slice_' || event_id as source_slice_id, 'shot, ' || (event_id % 9) || '.png' as image_file_name, (event_id % 39 + 1)::int as display_id from events where event_id % 4 <> 0), e as (select * from rec left join at using (source_slice_id))"
+PLACED = f"{REC}, spots as (select 'slice_' || event_id as source_slice_id, 'shot, ' || (event_id % 9) || '.png' as image_file_name, (event_id % 39 + 1)::int as display_id from events where event_id % 4 <> 0), e as (select * from rec left join spots using (source_slice_id))"
 
 
 def exported(spark, sf_dir) -> DataFrame:
