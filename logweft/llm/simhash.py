@@ -19,7 +19,10 @@ null if no other id is there). Repeated rows give repeated rows. An empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,11 +96,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: 64-bit words, bytes of a block, blocks, and bits that near copies may differ in. Two texts whose
+#: Wide fingerprints: 64-bit words, blocks, and bits that near copies may differ in. Two texts whose
 #: five-word shingles are alike to 0.8 differ in about 31 of 256 bits.
-WORDS, BLOCK_BYTES, BLOCKS, WIDE_BITS = 4, 3, 48, 36
-#: Links of a node that components are made from.
-LINKS = 4
+WORDS, BLOCKS, WIDE_BITS = 4, 48, 36
+#: Bytes of a block, as offsets from its number; the later blocks, numbered from 8 * WORDS, have the second kind.
+STEPS = ((0, 5, 13), (0, 3, 14))
+#: Further bytes that blocks which are too large are split by, FINER of them at each level.
+FURTHER, FINER = tuple(d for d in range(1, 8 * WORDS) if all(d not in s for s in STEPS)), 4
+#: Blocks whose members are Python objects at one time in a task.
+BLOCKS_AT_ONCE = 1000
 #: Fixed odd multipliers that make further words of a hash.
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -115,41 +122,79 @@ def wide_fingerprint(text: str, shingle: int = SHINGLE) -> list[int]:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
 
 
+def block_bytes(t: int) -> tuple[int, ...]:
+    """Numbers of the bytes that block t holds."""
+    n = 8 * WORDS
+    return tuple((t + d) % n for d in STEPS[t // n])
+
+
+def apart(x: Column, y: Column) -> Column:
+    """Bits in which two wide fingerprints differ."""
+    return sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
+def forest(block: list[dict]) -> list[dict]:
+    """Links that join the members of a block as all its pairs within WIDE_BITS bits would: each to its component's least."""
+    block = sorted(block, key=lambda m: m["node"])
+    words = np.array([m["fp"] for m in block], dtype="<i8").view("<u8")
+    near = np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= WIDE_BITS
+    label = np.arange(len(block))
+    for k in range(1, len(block)):
+        met = label[:k][near[k, :k]]
+        if len(met):
+            label[k] = met.min()
+            label[np.isin(label, met)] = met.min()
+    return [{"a": block[c]["node"], "b": block[k]["node"]} for k, c in enumerate(label.tolist()) if c != k]
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+            blocks = batch.slice(at, BLOCKS_AT_ONCE).column("block").to_pylist()
+            yield pa.RecordBatch.from_pylist([link for block in blocks for link in forest(block)], schema=schema)
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, fp) that share a block and differ in at most WIDE_BITS bits.
+    """Links (a, b) that join nodes (node, fp) which share a block and differ in at most WIDE_BITS bits.
 
     BLOCKS blocks of three bytes each, no two blocks having more than a byte in common: texts that differ in 12 % of
-    the bits share one with probability 0.9. Nodes of a block of up to BLOCK_PAIRS are all compared there; in a larger one
-    each is compared with the block's least. So links stay linear in a group's size: two a member and block at most.
+    the bits share one with probability 0.9. All pairs of a block of up to BLOCK_PAIRS nodes are compared, and a link from each
+    node to the least it is joined with stands for them. In a larger block, nodes near the least one are linked
+    to it; those that are not go on to smaller blocks, which have one of FINER further bytes as well, level by level until no
+    block is too large (with no bytes left, only the least and those near it leave a block). So every node is compared, and links are
+    linear in a group's size.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
-    n = len(byte)
-    steps = [(t, (t + 5) % n, (t + 13) % n) if t < n else (t - n, (t - n + 3) % n, (t - n + 14) % n) for t in range(BLOCKS)]
-    keys = [F.lit(t << 24).cast("long").bitwiseOR(F.shiftleft(byte[i], 16)).bitwiseOR(F.shiftleft(byte[j], 8)).bitwiseOR(byte[k]) for t, (i, j, k) in enumerate(steps)]
-    apart = lambda x, y: sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
-    placed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    some = shared.where(F.col("n") <= BLOCK_PAIRS).withColumn("least_fp", F.lit(None).cast("array<bigint>"))
-    many = shared.where(F.col("n") > BLOCK_PAIRS).join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp")), "least")
-    # of a larger block only the members near its least one are passed on
-    blocks = some.unionByName(many).withColumnRenamed("key", "of_key")
-    near_least = F.col("least_fp").isNull() | ((F.col("node") > F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
-    members = cut(placed.join(blocks, (F.col("key") == F.col("of_key")) & near_least).select("node", "fp", "key", "n", "least"))
-
-    # at most BLOCK_PAIRS members: all are compared, and each gives the first and the last link to those before it
-    block = members.where(F.col("n") <= BLOCK_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("block"))
-    near = F.transform("block", lambda y: F.struct(
-        y["node"].alias("b"), F.transform(F.filter("block", lambda x: (x["node"] < y["node"]) & (apart(x["fp"], y["fp"]) <= WIDE_BITS)), lambda x: x["node"]).alias("of")
-    ))
-    found = block.select(F.explode(F.filter(near, lambda x: F.size(x["of"]) > 0)).alias("x"))
-    pairs = found.select(F.explode(F.array_distinct(F.array(F.element_at("x.of", 1), F.element_at("x.of", -1)))).alias("a"), F.col("x.b").alias("b"))
-    stars = members.where(F.col("n") > BLOCK_PAIRS).select(F.col("least").alias("a"), F.col("node").alias("b"))
-
-    # a node has two links a block at most, so this list is bounded; of many, the first, the last and two between are enough
-    of = pairs.unionByName(stars).distinct().groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("of"))
-    size = F.size("of")
-    kept = F.when(size <= LINKS, F.col("of")).otherwise(F.array(*[F.element_at("of", F.floor((size - 1) * k / (LINKS - 1)).cast("int") + 1) for k in range(LINKS)]))
-    return of.select(F.explode(kept).alias("a"), "b")
+    bytes_of = F.array(*byte)
+    keys = F.array(*[
+        F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]).alias("key")) for t in range(BLOCKS)
+    ])
+    placed = nodes.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.t", "k.key")
+    links, level = [], 0
+    while True:
+        shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        shared = cut(shared)
+        some = shared.where(F.col("n") <= BLOCK_PAIRS).select("key")
+        block = placed.join(some, "key").groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("block"))
+        links.append(block.select("block").mapInArrow(forests, "a bigint, b bigint"))
+        large = shared.where(F.col("n") > BLOCK_PAIRS)
+        if not large.limit(1).count():
+            break
+        large = large.join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp")), "least")
+        members = placed.join(large, "key").where("node <> least").withColumn("near", apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS)
+        members = cut(members.select("node", "fp", "t", "key", "least", "near"))
+        links.append(members.where("near").select(F.col("least").alias("a"), F.col("node").alias("b")))
+        far = members.where("not near").select("node", "fp", "t", "key")
+        offsets = FURTHER[FINER * level : FINER * (level + 1)]
+        if offsets:
+            finer = F.array(*[F.xxhash64("key", F.lit(d), F.element_at(bytes_of, 1 + (F.col("t") + d) % len(byte))) for d in offsets])
+            far = far.select("node", "fp", "t", F.explode(finer).alias("key"))
+        placed, level = far, level + 1
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -163,6 +163,53 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(d).collect()) == [0, 1]
 
 
+def components_of(links):
+    least = {}
+    find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        least[b] = a
+    return {x: find(x) for x in least}
+
+
+def wide_prints(n, seed=3):
+    """Families of fingerprints at 2 to 50 bits from a common one, and unrelated ones."""
+    rng = np.random.default_rng(seed)
+    bits = [rng.integers(0, 2, 256)]
+    for k in range(1, n):
+        new = rng.integers(0, 2, 256) if k % 20 == 0 else bits[k - 1 - k % 20 if k % 20 else k].copy()
+        if k % 20:
+            new[rng.choice(256, rng.integers(2, 50), replace=False)] ^= 1
+        bits.append(new)
+    return [np.packbits(b, bitorder="little").view("<i8").tolist() for b in map(lambda b: b.astype(np.uint8), bits)]
+
+
+def test_wide_links_are_all_pairs_of_blocks(spark):
+    prints = wide_prints(300)
+    raw = [np.array(p, dtype="<i8").tobytes() for p in prints]
+    near = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(raw[i], raw[j])) <= simhash.WIDE_BITS
+    meet = lambda i, j: any(all(raw[i][k] == raw[j][k] for k in simhash.block_bytes(t)) for t in range(simhash.BLOCKS))
+    want = components_of((i, j) for i in range(300) for j in range(i) if near(i, j) and meet(i, j))
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp array<long>")
+    assert len(want) > 30 and components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect()) == want
+
+
+def test_wide_links_of_large_blocks(spark, monkeypatch):
+    """Three families far from each other in one hot block: members far from the least go on to smaller blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", 4)
+    rng = np.random.default_rng(5)
+    families = []
+    for _ in range(3):
+        base = rng.integers(0, 256, 32).astype(np.uint8)
+        base[[0, 5, 13]] = 7
+        for k in range(30):
+            one = base.copy()
+            one[1 + k % 4] ^= 1 + k
+            families.append(one.view("<i8").tolist())
+    nodes = spark.createDataFrame(list(enumerate(families)), "node long, fp array<long>")
+    assert components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect()) == {k: k // 30 * 30 for k in range(90)}
+
+
 def test_secrets_link_parts(spark):
     d = spark.createDataFrame([(1, "ID ABCD1234EFGH5678 near token = abcdefabcdef0123456789"), (2, "ID ABCD1234EFGH5678 alone"), (3, "token=secret: abcdefghijklmnop")], "doc_id long, text string")
     got = {r.doc_id: (r.n_assign, r.n_hex, r.spans) for r in secrets.secrets(d).collect()}
