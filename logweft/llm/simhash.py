@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
 from logweft.llm.common import cut, free_name, map_texts
-from logweft.llm.components import components
+from logweft.llm.components import components, contracted
 
 BITS = 2
 SHINGLE = 3
@@ -156,7 +156,7 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join nodes (node, fp) which share a block and differ in at most WIDE_BITS bits.
+    """Links (a, b) that join nodes (node, fp) which share a block and differ in at most WIDE_BITS bits; a < b, some more than once.
 
     BLOCKS blocks of three bytes each, no two blocks having more than a byte in common: texts that differ in 12 % of
     the bits share one with probability 0.9. All pairs of a block of up to BLOCK_PAIRS nodes are compared, and a link from each
@@ -194,7 +194,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    return every.distinct()
+    return every
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     make = lambda: lambda texts: [[wide_fingerprint(t) for t in texts]]
     prints = map_texts(docs.where("doc_id is not null"), ("doc_id",), "text", make, [StructField("fp", ArrayType(LongType()))])
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    joined = components(wide_links(nodes)).select("node", "label")
+    joined = components(contracted(wide_links(nodes))).select("node", "label")
     # a node is the smallest doc_id of its fingerprint, and a label the smallest node of its component
     kept = nodes.select("node").join(joined, "node", "left").where("label is null or label = node").select(F.col("node").alias("doc_id")).distinct()
     number = free_name(docs, "row_of_doc")

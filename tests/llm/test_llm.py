@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweft.llm import ann, media, mixing, piece_bpe, pii, quality, queries, secrets, sharding, simhash, toxicity
+from logweft.llm import ann, components, media, mixing, piece_bpe, pii, quality, queries, secrets, sharding, simhash, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string, key string"
@@ -172,6 +172,16 @@ def components_of(links):
     return {x: find(x) for x in least}
 
 
+@pytest.mark.parametrize("n", [0, 400])
+def test_contracted_links_join_the_same(spark, n):
+    """Stars with shared members, links in chains, repeated links; and none at all."""
+    rng = random.Random(7)
+    links = [(rng.randrange(5), 10 + rng.randrange(100)) for _ in range(n)] + [(200 + k, 201 + k) for k in range(n // 20)] + [(300 + k % 3, 310 + k % 40) for k in range(n)]
+    got = [(r.a, r.b) for r in components.contracted(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert components_of(got) == components_of(links)
+    assert all(a < b for a, b in got) and len({*got}) == len(got) <= len(components_of(links)) + 10
+
+
 def wide_prints(n, seed=3):
     """Families of fingerprints at 2 to 50 bits from a common one, and unrelated ones."""
     rng = np.random.default_rng(seed)
