@@ -198,17 +198,20 @@ def wide_links(nodes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs, one row of each group of near copies: that of its smallest doc_id.
+    """The columns of docs, one row of each group of near copies: that of its smallest doc_id (and hash of text).
 
-    Groups are components of links between wide fingerprints. Rows without a doc_id stay; of rows with one doc_id, one stays.
+    Groups are components of links between wide fingerprints, which are nodes by a hash of their own: a doc_id that recurs
+    with different texts joins no groups. Rows without a doc_id stay; of rows with one doc_id and text, one stays.
     """
     make = lambda: lambda texts: [[wide_fingerprint(t) for t in texts]]
-    prints = map_texts(docs.where("doc_id is not null"), ("doc_id",), "text", make, [StructField("fp", ArrayType(LongType()))])
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    digest, number = free_name(docs, "digest_of_text"), free_name(docs, "row_of_doc")
+    rows = docs.where("doc_id is not null").withColumn(digest, F.xxhash64("text"))
+    prints = map_texts(rows, ("doc_id", digest), "text", make, [StructField("fp", ArrayType(LongType()))])
+    prints = cut(prints.select("doc_id", F.col(digest).alias("digest"), "fp", F.xxhash64("fp").alias("node")))
+    nodes = cut(prints.groupBy("node", "fp").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("node", "fp", "row"))
     joined = components(contracted(wide_links(nodes))).select("node", "label")
-    # a node is the smallest doc_id of its fingerprint, and a label the smallest node of its component
-    kept = nodes.select("node").join(joined, "node", "left").where("label is null or label = node").select(F.col("node").alias("doc_id")).distinct()
-    number = free_name(docs, "row_of_doc")
-    once = docs.join(kept, "doc_id", "left_semi")
-    once = once.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(number) == 1)
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = nodes.select("node", "row").join(joined, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
+    kept = groups.agg(F.min("row").alias("row")).select("row.doc_id", F.col("row.digest").alias(digest))
+    # copies of a row go before the shuffle
+    once = rows.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(digest))).where(F.col(number) == 1)
+    return once.join(kept, ["doc_id", digest], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

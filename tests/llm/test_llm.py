@@ -163,6 +163,15 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(d).collect()) == [0, 1]
 
 
+def test_recurring_ids_join_no_groups(spark):
+    """doc_id 5 has texts A and B, 10 to 20 have B; 30 recurs with texts of its own."""
+    rng = random.Random(2)
+    a, b, *own = [" ".join(f"w{rng.randint(0, 9000)}" for _ in range(80)) for _ in range(12)]
+    rows = [(5, a), (5, b), (5, b)] + [(k, b) for k in range(10, 21)] + [(30, t) for t in own]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(d).collect()) == sorted([(5, a), (5, b), *((30, t) for t in own)])
+
+
 def components_of(links):
     least = {}
     find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
