@@ -12,11 +12,10 @@ def contracted(links: DataFrame) -> DataFrame:
     """Links (a, b), a < b, that join the ends of links (a, b), a < b, as those do, about one for each end.
 
     Every node's lesser neighbours are linked to the least of them instead of to the node, and the node to that one, so
-    nodes that many stars share leave only the links between the stars' middles. A node's lesser neighbours are put together:
-    they must be bounded, as by a number of blocks that each give a node one link.
+    nodes that many stars share leave only the links between the stars' middles.
     """
-    stars = links.groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("lesser"))
-    ends = stars.select("least", F.explode(F.array_union("lesser", F.array("b"))).alias("b"))
+    least = links.groupBy("b").agg(F.min("a").alias("least"))
+    ends = links.join(least, "b").select("least", F.col("a").alias("b")).unionByName(least.select("least", "b"))
     return cut(ends.where("least <> b").select(F.col("least").alias("a"), "b").distinct())
 
 

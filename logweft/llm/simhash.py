@@ -19,10 +19,7 @@ null if no other id is there). Repeated rows give repeated rows. An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,10 +98,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
 WORDS, BLOCKS, WIDE_BITS = 4, 48, 36
 #: Bytes of a block, as offsets from its number; the later blocks, numbered from 8 * WORDS, have the second kind.
 STEPS = ((0, 5, 13), (0, 3, 14))
-#: Further bytes that blocks which are too large are split by, FINER of them at each level.
-FURTHER, FINER = tuple(d for d in range(1, 8 * WORDS) if all(d not in s for s in STEPS)), 4
-#: Blocks whose members are Python objects at one time in a task.
-BLOCKS_AT_ONCE = 1000
+#: Rounds that link members of a block to a centre, and nodes to a side of a page in which the pairs that are left are compared.
+CENTRES, PAGE = 4, 1000
 #: Fixed odd multipliers that make further words of a hash.
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -133,68 +128,47 @@ def apart(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
-def forest(block: list[dict]) -> list[dict]:
-    """Links that join the members of a block as all its pairs within WIDE_BITS bits would: each to its component's least."""
-    block = sorted(block, key=lambda m: m["node"])
-    words = np.array([m["fp"] for m in block], dtype="<i8").view("<u8")
-    near = np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= WIDE_BITS
-    label = np.arange(len(block))
-    for k in range(1, len(block)):
-        met = label[:k][near[k, :k]]
-        if len(met):
-            label[k] = met.min()
-            label[np.isin(label, met)] = met.min()
-    return [{"a": block[c]["node"], "b": block[k]["node"]} for k, c in enumerate(label.tolist()) if c != k]
-
-
-def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCKS_AT_ONCE):
-            blocks = batch.slice(at, BLOCKS_AT_ONCE).column("block").to_pylist()
-            yield pa.RecordBatch.from_pylist([link for block in blocks for link in forest(block)], schema=schema)
-
-
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join nodes (node, fp) which share a block and differ in at most WIDE_BITS bits; a < b, some more than once.
+    """Links (a, b), a < b, that join nodes (node, fp) as all pairs which share a block and differ in at most WIDE_BITS bits would.
 
     BLOCKS blocks of three bytes each, no two blocks having more than a byte in common: texts that differ in 12 % of
-    the bits share one with probability 0.9. All pairs of a block of up to BLOCK_PAIRS nodes are compared, and a link from each
-    node to the least it is joined with stands for them. In a larger block, nodes near the least one are linked
-    to it; those that are not go on to smaller blocks, which have one of FINER further bytes as well, level by level until no
-    block is too large (with no bytes left, only the least and those near it leave a block). So every node is compared, and links are
-    linear in a group's size.
+    the bits share one with probability 0.9.
+
+    In each block the least node is linked to those near it, then the least of those near no earlier centre to all others near it,
+    while over BLOCK_PAIRS are near no centre and for at most CENTRES rounds. Two nodes of one centre are joined by it; all other
+    pairs of the block are compared, in pages of about PAGE by PAGE nodes.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
-    bytes_of = F.array(*byte)
-    keys = F.array(*[
-        F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]).alias("key")) for t in range(BLOCKS)
-    ])
-    placed = nodes.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.t", "k.key")
-    links, level = [], 0
-    while True:
-        shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        shared = cut(shared)
-        some = shared.where(F.col("n") <= BLOCK_PAIRS).select("key")
-        block = placed.join(some, "key").groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("block"))
-        links.append(block.select("block").mapInArrow(forests, "a bigint, b bigint"))
-        large = shared.where(F.col("n") > BLOCK_PAIRS)
-        if not large.limit(1).count():
+    keys = F.array(*[F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]) for t in range(BLOCKS)])
+    placed = nodes.select("node", F.explode(keys).alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    members = cut(placed.join(shared, "key").join(nodes.select("node", "fp"), "node").withColumn("centre", F.lit(None).cast("long")))
+    prints = nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp"))
+    links = None
+    for _ in range(CENTRES):
+        free = members.where("centre is null")
+        least = free.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("free"))
+        least = cut(least.where((F.col("free") > (0 if links is None else BLOCK_PAIRS)) & (F.col("free") > 1)))
+        if links is not None and not least.limit(1).count():
             break
-        large = large.join(nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp")), "least")
-        members = placed.join(large, "key").where("node <> least").withColumn("near", apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS)
-        members = cut(members.select("node", "fp", "t", "key", "least", "near"))
-        links.append(members.where("near").select(F.col("least").alias("a"), F.col("node").alias("b")))
-        far = members.where("not near").select("node", "fp", "t", "key")
-        offsets = FURTHER[FINER * level : FINER * (level + 1)]
-        if offsets:
-            finer = F.array(*[F.xxhash64("key", F.lit(d), F.element_at(bytes_of, 1 + (F.col("t") + d) % len(byte))) for d in offsets])
-            far = far.select("node", "fp", "t", F.explode(finer).alias("key"))
-        placed, level = far, level + 1
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return every
+        near = members.join(least.select("key", "least"), "key").join(prints, "least").where((F.col("node") != F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
+        found = cut(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+        links = found if links is None else links.unionByName(found)
+        members = members.join(least.select("key", "least"), "key", "left").join(found.select(F.col("a").alias("least"), F.col("b").alias("node"), F.lit(True).alias("near")), ["least", "node"], "left")
+        joined = F.col("near") | (F.col("node") == F.col("least"))
+        members = cut(members.select("key", "node", "fp", "n", "first", F.coalesce("centre", F.when(joined, F.col("least"))).alias("centre")))
+
+    # the others are those not joined to the least of the block
+    members = members.withColumn("other", F.coalesce(F.col("centre") != F.col("first"), F.lit(True)))
+    others = members.where("other").groupBy("key").agg(F.ceil(F.count("*") / PAGE).alias("high"))
+    members = members.where("node <> first").join(others, "key").withColumn("wide", F.ceil(F.col("n") / PAGE))
+    page = lambda pages: F.pmod(F.xxhash64("node"), pages)
+    every = lambda pages: F.explode(F.sequence(F.lit(0).cast("long"), pages.cast("long") - 1))
+    x = members.where("other").select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("centre").alias("centre_a"), page(F.col("high")).alias("row"), every(F.col("wide")).alias("column"))
+    y = members.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("centre").alias("centre_b"), "other", page(F.col("wide")).alias("column"), every(F.col("high")).alias("row"))
+    apart_yet = ~F.coalesce(F.col("centre_a") == F.col("centre_b"), F.lit(False)) & (~F.col("other") | (F.col("a") < F.col("b")))
+    met = x.join(y, ["key", "row", "column"]).where(apart_yet & (apart(F.col("fp_a"), F.col("fp_b")) <= WIDE_BITS))
+    return links.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

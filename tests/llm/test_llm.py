@@ -229,6 +229,21 @@ def test_wide_links_of_large_blocks(spark, monkeypatch):
     assert components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect()) == {k: k // 30 * 30 for k in range(90)}
 
 
+def test_wide_links_of_a_block_of_thousands(spark, monkeypatch):
+    """As brute force in blocks of 2,000: near and not near the least, families and their fringes, more than one page."""
+    monkeypatch.setattr(simhash, "PAGE", 300)
+    rng = np.random.default_rng(11)
+    bits = rng.integers(0, 2, (5, 256), dtype=np.uint8).repeat(400, 0) ^ (rng.random((2000, 256)) < rng.uniform(0.03, 0.13, (2000, 1)))
+    raw = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
+    raw[:, [0, 5, 13]] = 7
+    raw = raw[rng.permutation(2000)]
+    words = raw.view("<u8")
+    near = [(i, int(j)) for i in range(2000) for j in np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1) <= simhash.WIDE_BITS)]
+    nodes = spark.createDataFrame(list(enumerate(raw.view("<i8").tolist())), "node long, fp array<long>")
+    got = components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect())
+    assert got == components_of(near) and len(near) > 10_000
+
+
 def test_secrets_link_parts(spark):
     d = spark.createDataFrame([(1, "ID ABCD1234EFGH5678 near token = abcdefabcdef0123456789"), (2, "ID ABCD1234EFGH5678 alone"), (3, "token=secret: abcdefghijklmnop")], "doc_id long, text string")
     got = {r.doc_id: (r.n_assign, r.n_hex, r.spans) for r in secrets.secrets(d).collect()}
