@@ -11,7 +11,9 @@ the remaining bits and all their one-bit changes, and is linked to the least fin
 fingerprints share an entry just if they differ in at most two bits, so components are the same, in linear size.
 
 Near copies that share four fifths of their shingles differ in more bits than blocks of 64 can find, so keep_one(),
-which leaves one document of each group, takes 256-bit fingerprints in the same way: blocks, join, verified distance.
+which leaves one document of each group, takes 256-bit fingerprints of distinct five-word shingles. They differ in about 38 bits,
+and blocks of bytes that such pairs share would be so short that they grow with the square of the corpus; so blocks are bands of the
+shingles' least values, shared by how alike the sets are. Pairs of a block that the fingerprints allow are compared shingle by shingle.
 
 Null text counts as empty. A null doc_id gets a fingerprint and a component but is never the component's id (which is
 null if no other id is there). Repeated rows give repeated rows. An empty table gives an empty result.
@@ -19,6 +21,8 @@ null if no other id is there). Repeated rows give repeated rows. An empty table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -93,9 +97,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: 64-bit words, blocks, and bits that near copies may differ in. Two texts whose
-#: five-word shingles are alike to 0.8 differ in about 31 of 256 bits.
-WORDS, BLOCKS, WIDE_BITS = 4, 48, 36
+#: Wide fingerprints: 64-bit words, blocks of bytes, and bits that candidates may differ in. Two texts whose distinct
+#: shingles are alike to 0.8 differ in about 38 of 256 bits (deviation 6), whatever the edit; unrelated ones in 128 (deviation 8).
+WORDS, BLOCKS, WIDE_BITS = 4, 48, 72
+#: Words of a near copy's shingles, and bands of least values with values to a band: texts alike to 0.8 share a band with probability 0.999.
+NEAR_SHINGLE, BANDS, BAND = 5, 24, 6
+#: Shingles whose values for all bands are in memory at one time.
+SHINGLES_AT_ONCE = 2048
 #: Bytes of a block, as offsets from its number; the later blocks, numbered from 8 * WORDS, have the second kind.
 STEPS = ((0, 5, 13), (0, 3, 14))
 #: Rounds that link members of a block to a centre, and nodes to a side of a page in which the pairs that are left are compared.
@@ -104,19 +112,47 @@ CENTRES, PAGE = 4, 1000
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def wide_fingerprint(text: str, shingle: int = SHINGLE) -> list[int]:
-    """WORDS signed 64-bit numbers: SimHash over each shingle's hash, multiplied and mixed once a word."""
+#: Fixed odd multipliers that make a hash's values for the bands.
+BAND_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"band", k) | 1 for k in range(BANDS * BAND)], dtype="<u8")
+
+
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * WORDS
+        return np.zeros(0, dtype="<u8")
     parts = [words[k:] for k in range(shingle)] if len(words) > shingle else [[b" ".join(words)]]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*parts)), dtype="<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*parts)), dtype="<u8")
+
+
+def wide_bits(hashes: np.ndarray) -> list[int]:
     mixed = hashes[:, None] * np.array(MULTIPLIERS, dtype="<u8")
     mixed ^= mixed >> np.uint64(29)
     ones = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
 
 
+def wide_fingerprint(text: str, shingle: int = SHINGLE) -> list[int]:
+    """WORDS signed 64-bit numbers: SimHash over each shingle's hash, multiplied and mixed once a word."""
+    return wide_bits(shingle_hashes(text, shingle))
+
+
+def sketch(text: str) -> tuple[int, list[int], list[int]]:
+    """A node for the set of a text's distinct shingles of NEAR_SHINGLE words, the set's wide fingerprint, and its bands (none without words)."""
+    hashes = np.unique(shingle_hashes(text, NEAR_SHINGLE))
+    node = int(np.array(xxhash.xxh64_intdigest(hashes.tobytes()), dtype="<u8").view("<i8"))
+    if not len(hashes):
+        return node, wide_bits(hashes), []
+    least = np.full(len(BAND_MULTIPLIERS), 2**64 - 1, dtype="<u8")
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        values = BAND_MULTIPLIERS[:, None] * hashes[None, at : at + SHINGLES_AT_ONCE]
+        values ^= values >> np.uint64(29)
+        values *= BAND_MULTIPLIERS[::-1, None]
+        np.minimum(least, values.min(1), out=least)
+    bands = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND))], dtype="<u8")
+    return node, wide_bits(hashes), bands.view("<i8").tolist()
+
+
 def block_bytes(t: int) -> tuple[int, ...]:
     """Numbers of the bytes that block t holds."""
     n = 8 * WORDS
@@ -128,21 +164,22 @@ def apart(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
+def wide_links(nodes: DataFrame, blocks: Column | None = None, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Links (a, b), a < b, that join nodes (node, fp) as all pairs which share a block and differ in at most WIDE_BITS bits would.
 
-    BLOCKS blocks of three bytes each, no two blocks having more than a byte in common: texts that differ in 12 % of
-    the bits share one with probability 0.9.
+    A node's blocks are the array `blocks`; without it, BLOCKS blocks of three bytes of the fingerprint each, no two having more
+    than a byte in common. The verifier gets the nodes that share a block; what it returns leaves of pairs (a, b) those that are links.
 
     In each block the least node is linked to those near it, then the least of those near no earlier centre to all others near it,
     while over BLOCK_PAIRS are near no centre and for at most CENTRES rounds. Two nodes of one centre are joined by it; all other
     pairs of the block are compared, in pages of about PAGE by PAGE nodes.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
-    keys = F.array(*[F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]) for t in range(BLOCKS)])
+    keys = blocks if blocks is not None else F.array(*[F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]) for t in range(BLOCKS)])
     placed = nodes.select("node", F.explode(keys).alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     members = cut(placed.join(shared, "key").join(nodes.select("node", "fp"), "node").withColumn("centre", F.lit(None).cast("long")))
+    verified = verifier(members.select("node").distinct()) if verifier else lambda pairs: pairs
     prints = nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp"))
     links = None
     for _ in range(CENTRES):
@@ -152,7 +189,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         if links is not None and not least.limit(1).count():
             break
         near = members.join(least.select("key", "least"), "key").join(prints, "least").where((F.col("node") != F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
-        found = cut(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+        found = cut(verified(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
         members = members.join(least.select("key", "least"), "key", "left").join(found.select(F.col("a").alias("least"), F.col("b").alias("node"), F.lit(True).alias("near")), ["least", "node"], "left")
         joined = F.col("near") | (F.col("node") == F.col("least"))
@@ -168,22 +205,35 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     y = members.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("centre").alias("centre_b"), "other", page(F.col("wide")).alias("column"), every(F.col("high")).alias("row"))
     apart_yet = ~F.coalesce(F.col("centre_a") == F.col("centre_b"), F.lit(False)) & (~F.col("other") | (F.col("a") < F.col("b")))
     met = x.join(y, ["key", "row", "column"]).where(apart_yet & (apart(F.col("fp_a"), F.col("fp_b")) <= WIDE_BITS))
-    return links.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return links.unionByName(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of docs, one row of each group of near copies: that of its smallest doc_id (and hash of text).
 
-    Groups are components of links between wide fingerprints, which are nodes by a hash of their own: a doc_id that recurs
-    with different texts joins no groups. Rows without a doc_id stay; of rows with one doc_id and text, one stays.
+    Groups are components of links between sets of shingles, which are nodes by a hash of their own: a doc_id that recurs with
+    different texts joins no groups. Two texts are linked if their distinct shingles of NEAR_SHINGLE words are alike to 0.8 or more
+    (exactly; candidates share a band). Rows without a doc_id stay; of rows with one doc_id and text, one stays.
     """
-    make = lambda: lambda texts: [[wide_fingerprint(t) for t in texts]]
+    make = lambda: lambda texts: list(zip(*[sketch(t) for t in texts]))
     digest, number = free_name(docs, "digest_of_text"), free_name(docs, "row_of_doc")
     rows = docs.where("doc_id is not null").withColumn(digest, F.xxhash64("text"))
-    prints = map_texts(rows, ("doc_id", digest), "text", make, [StructField("fp", ArrayType(LongType()))])
-    prints = cut(prints.select("doc_id", F.col(digest).alias("digest"), "fp", F.xxhash64("fp").alias("node")))
-    nodes = cut(prints.groupBy("node", "fp").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("node", "fp", "row"))
-    joined = components(contracted(wide_links(nodes))).select("node", "label")
+    fields = [StructField("node", LongType()), StructField("fp", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))]
+    prints = map_texts(rows, ("doc_id", digest), "text", make, fields).withColumnRenamed(digest, "digest")
+    nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min(F.struct("doc_id", "digest")).alias("row")))
+
+    def verifier(members: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Keeps pairs of members whose sets of shingles are alike to 0.8 or more."""
+        texts = nodes.join(members, "node").select("node", "row.doc_id", F.col("row.digest").alias(digest))
+        hashes = lambda: lambda texts: [[np.unique(shingle_hashes(t, NEAR_SHINGLE)).view("<i8") for t in texts]]
+        sets = map_texts(rows.join(texts, ["doc_id", digest]), ("node",), "text", hashes, [StructField("set", ArrayType(LongType()))])
+        sets = cut(sets.groupBy("node").agg(F.first("set").alias("set")))
+        a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        # i shared of m and n: i / (m + n - i) >= 4 / 5
+        return lambda pairs: pairs.join(b, "b").join(a, "a").where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+    joined = components(contracted(wide_links(nodes, F.col("bands"), verifier))).select("node", "label")
     groups = nodes.select("node", "row").join(joined, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     kept = groups.agg(F.min("row").alias("row")).select("row.doc_id", F.col("row.digest").alias(digest))
     # copies of a row go before the shuffle

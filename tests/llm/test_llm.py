@@ -172,6 +172,30 @@ def test_recurring_ids_join_no_groups(spark):
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(d).collect()) == sorted([(5, a), (5, b), *((30, t) for t in own)])
 
 
+def test_near_copies_by_kind_of_edit(spark):
+    """Texts alike to just over 0.8 by five-word shingles are one group whatever the edit, texts just under it are two."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(240):
+        base = words(300)
+        kept = k % 8 < 4
+        if k % 4 == 0:
+            other = base + words(72 if kept else 78)  # 296 of 368, of 374
+        elif k % 4 == 1:
+            other = base[: 241 if kept else 236]  # 237 of 296, 232
+        elif k % 4 == 2:
+            other = base[:100] + words(28 if kept else 34) + base[128 if kept else 134 :]  # 264 of 328, 258 of 334
+        else:
+            other = base.copy()
+            for at in range(10, 10 + 25 * (6 if kept else 7), 25):
+                other[at] = words(1)[0]  # 266 of 326, 261 of 331
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} if kept else {2 * k, 2 * k + 1}
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
 def components_of(links):
     least = {}
     find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
@@ -232,6 +256,7 @@ def test_wide_links_of_large_blocks(spark, monkeypatch):
 def test_wide_links_of_a_block_of_thousands(spark, monkeypatch):
     """As brute force in blocks of 2,000: near and not near the least, families and their fringes, more than one page."""
     monkeypatch.setattr(simhash, "PAGE", 300)
+    monkeypatch.setattr(simhash, "WIDE_BITS", 36)
     rng = np.random.default_rng(11)
     bits = rng.integers(0, 2, (5, 256), dtype=np.uint8).repeat(400, 0) ^ (rng.random((2000, 256)) < rng.uniform(0.03, 0.13, (2000, 1)))
     raw = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
