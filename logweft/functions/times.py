@@ -55,7 +55,7 @@ def duration(seconds: Column) -> Column:
 
 
 def time_range(start: Column, end: Column) -> Column:
-    return F.concat(clock(start), F.lit(" - "), clock(end))
+    return F.concat(clock(start), F.lit("\u2013"), clock(end))
 
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")

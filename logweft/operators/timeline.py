@@ -59,7 +59,8 @@ def segments(records: DataFrame, items: DataFrame, mode: str = CUTOFF, by_player
     seconds = rows.groupBy("timeline", "sod").agg(F.max(F.when(F.col("is_attack"), F.col("ord"))).alias("last_attack"))
     seconds = start_second(seconds, ["timeline"])
     seconds = seconds.withColumn("start_s", F.col("sod") + F.when(F.col("sod") < F.col("first_sod"), times.DAY).otherwise(0))
-    later = Window.partitionBy("timeline").orderBy("start_s").rowsBetween(1, Window.unboundedFollowing)
+    # from the last second back, so that the frame only grows: Spark computes frames that shrink anew for each row
+    later = Window.partitionBy("timeline").orderBy(F.desc("start_s")).rowsBetween(Window.unboundedPreceding, -1)
     seconds = seconds.withColumn("next_attack", F.min(F.when(F.col("last_attack").isNotNull(), F.col("start_s"))).over(later)).drop("first_sod")
     both = rows.join(seconds, ["timeline", "sod"])
     ended = F.when(F.col("ord") < F.col("last_attack"), F.col("start_s")).otherwise(F.col("next_attack"))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,8 +38,17 @@ def test_filter_comes_after_the_window(spark, items):
     assert timeline.overall(segs, F.col("item") == "big").first().effective == 0.5
 
 
+def test_a_whole_day_of_seconds(spark, items):
+    """One player who uses an item every second; a frame that is computed anew for each row would take minutes."""
+    clock = F.format_string("[%02d:%02d:%02d]", F.floor(F.col("id") / 3600), F.floor(F.col("id") / 60) % 60, F.col("id") % 60)
+    rows = spark.range(86_400).select(F.col("id").alias("ord"), F.concat(F.lit("r"), "id").alias("id"), clock.alias("timestamp"), F.lit("A").alias("player"), F.lit("big").alias("item"))
+    began = time.time()
+    got = timeline.overall(timeline.segments(rows, items)).first()
+    assert (got.logs, got.active_s) == (86_400, 86_399 + 600) and time.time() - began < 60
+
+
 def test_empty(spark, items):
-    got = timeline.overall(timeline.segments(uses(spark).limit(0) if False else spark.createDataFrame([], ROWS), items)).first()
+    got = timeline.overall(timeline.segments(spark.createDataFrame([], ROWS), items)).first()
     assert (got.logs, got.effective) == (0, 0.0)
 
 
@@ -45,8 +56,9 @@ def test_texts(spark):
     row = spark.range(1).select(
         texts.label(F.lit("\t ")).alias("unknown"), texts.units(F.lit("a😀")).alias("units"), texts.two_places(F.lit(0.015)).alias("low"), texts.two_places(F.lit(0.125)).alias("half"),
         times.is_complete(F.lit("[12:00:00]\n")).alias("line_feed"), texts.csv_cell(F.lit('a"b')).alias("cell"), times.clock(F.lit(-1)).alias("clock"),
+        times.time_range(F.lit(59), F.lit(86_400)).alias("range"),
     ).first()
-    assert tuple(row) == ("Unknown", 3, "0.01", "0.13", False, '"a""b"', "23:59:59")
+    assert tuple(row) == ("Unknown", 3, "0.01", "0.13", False, '"a""b"', "23:59:59", "00:00:59\u201300:00:00")
 
 
 def test_long_block_repeats_heading():
