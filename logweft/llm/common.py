@@ -30,11 +30,15 @@ def free_name(df: DataFrame, base: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df read back from a reliable checkpoint, so that lost executors cost no recomputation of what led to it.
 
-    The folder is the cluster's spark.checkpoint.dir; only a session that names none (a test) gets one of its own.
+    The folder is the cluster's spark.checkpoint.dir. Only a session in one process (a test) that names none gets one of its
+    own; on a cluster executors would not see each other's files there, so that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -61,16 +65,36 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                made = work([t or "" for t in batch.column(text).to_pylist()])
-                columns = [batch.column(c) for c in keep] + [pa.array(v, type=k) for v, k in zip(made, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in in_slices(batches):
+            made = work([t or "" for t in batch.column(text).to_pylist()])
+            columns = [batch.column(c) for c in keep] + [pa.array(v, type=k) for v, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS_AT_ONCE rows."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            yield whole.slice(at, ROWS_AT_ONCE)
+
+
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of df, with all their columns, for whose whole text (null counts as empty) the function gives true.
+
+    make() runs once a task; rows stay where they are.
+    """
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = make()
+        for batch in in_slices(batches):
+            yield batch.filter(pa.array(keeps([t or "" for t in batch.column(place).to_pylist()]), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learnable: Column, most: int) -> DataFrame:
     """(text, label) of at most `most` labelled documents: those whose ids hash lowest.
 

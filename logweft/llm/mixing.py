@@ -9,9 +9,10 @@ A leaf's budget is a number of whole epochs and a remainder. Epoch e orders the
 md5(seed:e:doc_id); the remainder takes the prefix of the next epoch: each document before which fewer tokens stand
 than the remainder. Documents are whole, so a leaf's last document may go over its budget.
 
-The order is never sorted in one task: tokens are summed in buckets of the digest's first BUCKET hex digits, a running
-sum over these finds the bucket where the budget ends, and only that bucket is sorted. What comes out is a cut-off digest for
-each leaf; documents compare their own with it, so texts are never shuffled.
+The order is never sorted in one task: tokens are summed in buckets of the digest's next STEP hex digits, a running
+sum over a leaf's buckets (256 at most) finds the bucket where the budget ends, and that bucket is divided again until it
+holds at most SMALL documents; only these are sorted. What comes out is a cut-off digest for each leaf; documents compare
+their own with it, so texts are never shuffled.
 
 A token is a run of characters other than \\x20 and \\x09-\\x0D. Null domains, languages and sources are the
 empty text; null or empty texts have no tokens and are never taken. Rows with the same doc_id in a leaf share a place in the order.
@@ -25,10 +26,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweft.llm.common import free_name
+from logweft.llm.common import cut, free_name
 
 LEVELS = ("domain", "lang", "source")
-MAX_EPOCHS, SEED, BUCKET = 4, 17, 3
+MAX_EPOCHS, SEED = 4, 17
+#: Hex digits of the digest that a round looks at, all it has, and documents that are few enough to sort.
+STEP, DIGITS, SMALL = 2, 32, 1000
 #: Share of the corpus's tokens that the mixture has, in hundredths.
 BUDGET = 100
 #: Target weights by level and name; names that are not listed weigh OTHER.
@@ -111,19 +114,28 @@ def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, pe
         F.expr("case when available > 0 then budget div available else 0 end").alias("epochs"),
         F.expr("case when available > 0 then budget % available else 0 end").alias("left_over"),
     )
-    wanted = salted(shares.where("left_over > 0"))
+    ends = shares.where("left_over > 0").select(*LEVELS, "left_over", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    leaf = [*LEVELS, "salt"]
     ordered = (
-        docs.where("n_tokens > 0").withColumn("salt", salt(F.col("doc_id"))).join(wanted, [*LEVELS, "salt"])
-        .select(*LEVELS, "n_tokens", "left_over", place(F.col("epochs"), F.col("doc_id"), seed).alias("place"))
-        .withColumn("bucket", F.substring("place", 1, BUCKET))
+        docs.where("n_tokens > 0").withColumn("salt", salt(F.col("doc_id"))).join(salted(shares.where("left_over > 0").select(*LEVELS, "epochs")), leaf)
+        .select(*leaf, "n_tokens", place(F.col("epochs"), F.col("doc_id"), seed).alias("place"))
     )
-    sums = ordered.groupBy(*LEVELS, "left_over", "bucket").agg(F.sum("n_tokens").alias("tokens"))
+    ordered, ends = cut(ordered), cut(ends)
     running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = (
-        sums.withColumn("upto", F.sum("tokens").over(running)).withColumn("before", F.col("upto") - F.col("tokens"))
-        .where("before < left_over and upto >= left_over").select(*LEVELS, "bucket", "before")
+    for known in range(0, DIGITS, STEP):
+        inside = ordered.join(salted(ends), leaf).where(F.substring("place", 1, known) == F.col("prefix"))
+        if known and (most := inside.groupBy(*LEVELS).count().agg(F.max("count")).first()[0]) is not None and most <= SMALL:
+            break
+        sums = inside.groupBy(*LEVELS, "left_over", "before", F.substring("place", 1, known + STEP).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
+        upto = F.col("before") + F.sum("tokens").over(running)
+        ends = cut(
+            sums.withColumn("upto", upto).withColumn("begins", F.col("upto") - F.col("tokens"))
+            .where("begins < left_over and upto >= left_over").select(*LEVELS, "left_over", F.col("bucket").alias("prefix"), F.col("begins").alias("before"))
+        )
+    inside = (
+        ordered.join(salted(ends), leaf).where(F.col("place").startswith(F.col("prefix")))
+        .groupBy(*LEVELS, "left_over", "before", "place").agg(F.sum("n_tokens").alias("tokens"))
     )
-    inside = ordered.join(ends, [*LEVELS, "bucket"]).groupBy(*LEVELS, "left_over", "before", "place").agg(F.sum("n_tokens").alias("tokens"))
     earlier = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     cut_off = (
         inside.withColumn("upto", F.col("before") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))

@@ -25,11 +25,12 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from logweft.llm.common import free_name, labelled_sample, map_texts, split_by_crc
+from logweft.llm.common import cut, filter_texts, in_slices, labelled_sample, map_texts, split_by_crc
 
-#: Labelled documents that the model may be fitted on, and tokens it may keep (those seen most).
+#: Labelled documents that the model may be fitted on, and tokens it may keep (those with most evidence: log-odds times count).
 SAMPLE, TOKENS = 20_000, 60_000
 PRIOR, DRIFT, STEM, SEEN = 1.0, 0.7, 5, 4
 SIGNIFICANT, TAIL, ENOUGH = 0.01, 0.01, 25.0
@@ -101,56 +102,54 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after in found]
 
 
+COUNTS = StructType([StructField("token", StringType()), StructField("label", IntegerType()), StructField("n", LongType()), StructField("docs", LongType())])
+
+
 def token_counts(sample: DataFrame) -> DataFrame:
     """(token, label, n, number of documents) over (text, label) rows; beginnings of tokens too."""
-    out = StructType([StructField("token", StringType()), StructField("label", IntegerType()), StructField("n", LongType()), StructField("docs", LongType())])
 
-    def run(frames):
+    def run(batches):
+        import pyarrow as pa
+
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         holding: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for frame in frames:
-            for text, label in zip(frame["text"], frame["label"]):
+        for batch in in_slices(batches):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 tokens = list(map(bare, (text or "").split()))
                 tokens += [stem(t) for t in tokens if len(t) >= STEM]
                 counts[int(label > 0)].update(tokens)
                 holding[int(label > 0)].update(set(tokens))
-        import pandas as pd
-
-        rows = [(t, label, n, holding[label][t]) for label, tokens in counts.items() for t, n in tokens.items()]
-        yield pd.DataFrame(rows, columns=["token", "label", "n", "docs"])
+        for label, tokens in counts.items():
+            columns = [list(tokens), [label] * len(tokens), list(tokens.values()), [holding[label][t] for t in tokens]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(columns, COUNTS.fields)], names=COUNTS.names)
 
-    return sample.mapInPandas(run, out).groupBy("token", "label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return sample.select("text", "label").mapInArrow(run, COUNTS).groupBy("token", "label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Model:
-    """The model of at most SAMPLE labelled rows; learnable: a condition on label rows."""
-    sample = labelled_sample(documents, labels, "toxic", F.lit(True) if learnable is None else learnable, SAMPLE)
-    pivoted = (
-        token_counts(sample).groupBy("token")
-        .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("plain"), F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= SEEN).drop("docs")
-        .orderBy(F.desc(F.col("toxic") + F.col("plain")), "token").limit(TOKENS)
-    )
-    counted = [tuple(r) for r in pivoted.collect()]
-    whole = [r for r in counted if r[0][:1] != "\x01"]
-    n1, n0 = sum(r[1] for r in whole), sum(r[2] for r in whole)
+    """The model of at most SAMPLE labelled rows; learnable: a condition on label rows.
+
+    The sample is written once. The driver gets at most TOKENS counts and, twice, two or three numbers a sampled document.
+    """
+    sample = cut(labelled_sample(documents, labels, "toxic", F.lit(True) if learnable is None else learnable, SAMPLE))
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    counted = cut(token_counts(sample).groupBy("token").agg(of(1).alias("toxic"), of(0).alias("plain"), F.sum("docs").alias("docs")))
+    n1, n0 = counted.where(~F.col("token").startswith("\x01")).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("plain"), F.lit(0))).first()
     if not n1 or not n0:
         return Model()
-
-    def odds(y1: int, y0: int) -> float:
-        a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
-        return math.log((y1 + a1) / (n1 + a1)) - math.log((y0 + a0) / (n0 + a0))
-
-    model = Model({t: odds(y1, y0) - DRIFT for t, y1, y0 in counted})
-    found = [tuple(r) for r in measured(sample, ("label",), model).collect()]
-    usual = np.array([s[0] for y, s, _ in found if not y])
-    sizes = np.log([max(n, 1) for y, _, n in found if not y])
+    a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
+    odds = F.log((F.col("toxic") + a1) / (n1 + a1)) - F.log((F.col("plain") + a0) / (n0 + a0))
+    most = F.abs(F.col("odds")) * (F.col("toxic") + F.col("plain"))
+    told = counted.where(F.col("docs") >= SEEN).withColumn("odds", odds).orderBy(most.desc(), "token").limit(TOKENS).select("token", "odds").toArrow()
+    model = Model(dict(zip(told["token"].to_pylist(), (told["odds"].to_numpy() - DRIFT).tolist())))
+    found = measured(sample, ("label",), model).select("label", "best", "n_words").toArrow()
+    label, best = found["label"].to_numpy() > 0, found["best"].to_numpy()
+    usual, sizes = best[~label], np.log(np.maximum(found["n_words"].to_numpy()[~label], 1))
     model.rate = float(np.clip(np.pi / math.sqrt(6) / max(usual.std(), 1e-6), 0.2, 5.0))
     # P(rate * best - log n - log K > x) = 1 - exp(-exp(-x)) is set right at its tail
     model.log_k = float(np.quantile(model.rate * usual - sizes, 1 - TAIL)) + math.log(-math.log1p(-TAIL))
-    x = np.array([model.together(s, n) for _, s, n in found])
-    y = np.array([float(y > 0) for y, _, _ in found])
-    model.slope, model.offset = logistic(x, y)
+    found = measured(sample, ("label",), model).select("label", "together").toArrow()
+    model.slope, model.offset = logistic(found["together"].to_numpy(), (found["label"].to_numpy() > 0).astype(float))
     return model
 
 
@@ -181,9 +180,7 @@ class Scorer(dict):
         return got
 
 
-#: Best segments of a sample's document that are looked at when the curve is fitted.
-LOOKED_AT = 64
-MEASURES = [StructField("sums", ArrayType(DoubleType())), StructField("n_words", LongType())]
+MEASURES = [StructField("best", DoubleType()), StructField("together", DoubleType()), StructField("n_words", LongType())]
 SCORES = [
     StructField("score", DoubleType()),
     StructField("p_value", DoubleType()),
@@ -193,14 +190,20 @@ SCORES = [
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...], model: Model) -> DataFrame:
+    """keep, then the best segment's sum, what all segments come to together, and the number of words."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         of = Scorer(held.value)
 
         def work(texts: list[str]) -> list[list]:
-            scores = [list(map(of.__getitem__, t.split())) for t in texts]
-            return [[(sorted((x[2] for x in segments(s)), reverse=True) or [0.0])[:LOOKED_AT] for s in scores], [len(s) for s in scores]]
+            out: list[list] = [[], [], []]
+            for text in texts:
+                scores = list(map(of.__getitem__, text.split()))
+                sums = [x[2] for x in segments(scores)]
+                for column, value in zip(out, (max(sums, default=0.0), held.value.together(sums, len(scores)), len(scores))):
+                    column.append(value)
+            return out
 
         return work
 
@@ -252,21 +255,17 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that score below THRESHOLD, with their columns; a map without a join."""
+    """The rows of documents that score below THRESHOLD, with their columns; rows stay in their partitions."""
     held = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, learnable()))
 
-    @F.pandas_udf(BooleanType())
-    def passes(texts):
-        import pandas as pd
-
+    def make():
         m = held.value
         of = Scorer(m)
 
-        def one(text) -> bool:
-            scores = list(map(of.__getitem__, (text or "").split()))
-            return m.probability(m.together([s for _, _, s in segments(scores)], len(scores))) < THRESHOLD
+        def work(texts: list[str]) -> list[bool]:
+            scores = (list(map(of.__getitem__, t.split())) for t in texts)
+            return [m.probability(m.together([x for _, _, x in segments(s)], len(s))) < THRESHOLD for s in scores]
 
-        return pd.Series([one(t) for t in texts], dtype=bool)
+        return work
 
-    name = free_name(documents, "passes")
-    return documents.withColumn(name, passes("text")).where(F.col(name)).drop(name)
+    return filter_texts(documents, "text", make)
