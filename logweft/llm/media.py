@@ -1,7 +1,7 @@
 """Media columns and interleaved document sequences.
 
-HTML is parsed into ordered items: runs of text, and references to media by digest with the caption of their
-figure (or their alt text). Payloads are kept once, as a lossless image, under the SHA-256 of the payload;
+HTML is parsed, by one forward scan whatever is left open in it, into ordered items: runs of text, and references to media
+by digest with the caption of their figure (or their alt text). Payloads are kept once, as a lossless image, under the SHA-256 of the payload;
 references are resolved by a join on the digest, and the items of a page keep their positions.
 
 A payload is stored as a PNG of 64 columns of 8-bit RGB samples, 192 bytes a row, so its size is a multiple of 192; it is
@@ -20,9 +20,10 @@ import html as markup
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -31,57 +32,127 @@ from logweft.llm.common import cut, map_texts
 ROW = 192
 LEVEL = 1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>", re.S | re.I)
+NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9]*)")
+#: What ends a tag, or begins a quoted value in it.
+STOP = re.compile(r">|=\s*[\"']")
+RAW = {name: re.compile(f"</{name}", re.I) for name in ("script", "style")}
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACES = re.compile(r"\s+")
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "media"}
 INLINE = {"a", "abbr", "b", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where the tag that is open at this place ends; -1 if it does not."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        closing = page.find(m[0][-1], m.end())
+        if closing < 0:
+            return -1
+        at = closing + 1
+    return -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of tags, comments and raw elements (no name), by one forward scan.
+
+    What is not closed (a comment, a script, a tag, a quoted value) goes on to the end of the page, as in browsers.
+    """
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        m = NAME.match(page, start + 1)
+        name, closes, told = "", False, ""
+        if m:
+            end = tag_end(page, m.end())
+            name, closes, told = m[2].lower(), bool(m[1]), page[m.end() : end]
+            if end >= 0 and name in RAW and not closes:
+                close = RAW[name].search(page, end)
+                end, name = tag_end(page, close.end()) if close else -1, ""
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end += 3 * (end >= 0)
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) + 1 or -1
+        else:  # a mere sign
+            at = start + 1
+            continue
+        if end < 0:
+            end, name = len(page), ""
+        yield start, end, name, closes, told
+        at = end
+
+
 def parse(page: str) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) of a page's items: texts between blocks, and media where they stand."""
+    """(position, kind, text, digest, caption) of a page's items: texts between blocks, and media where they stand.
+
+    A figure's caption goes to its media wherever it stands in the figure; without any it is a text.
+    """
     items: list[list] = []
     words: list[str] = []
     figure: list[list] | None = None
-    caption: list[str] | None = None
+    told: tuple[int, str] | None = None
+    in_caption = False
 
-    def flush() -> None:
+    def taken() -> str:
         text = SPACES.sub(" ", markup.unescape("".join(words))).strip()
         words.clear()
-        if text:
+        return text
+
+    def flush() -> None:
+        if text := taken():
             items.append(["text", text, None, None])
 
+    def end_caption() -> None:
+        nonlocal told, in_caption
+        if in_caption:
+            in_caption, text = False, taken()
+            if text and figure is None:
+                items.append(["text", text, None, None])
+            elif text:
+                told = told[0] if told else len(items), f"{told[1]} {text}" if told else text
+
+    def end_figure() -> None:
+        nonlocal figure, told
+        end_caption()
+        flush()
+        if told and figure:
+            for item in figure:
+                item[3] = told[1]
+        elif told:
+            items.insert(told[0], ["text", told[1], None, None])
+        figure, told = None, None
+
     at = 0
-    for m in TAG.finditer(page):
-        (words if caption is None else caption).append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closes, attributes in tags(page):
+        words.append(page[at:start])
+        at = end
         if not name or name in INLINE:
             continue
-        closing = bool(m[2])
         if name == "figcaption":
-            if closing and caption is not None:
-                told = SPACES.sub(" ", markup.unescape("".join(caption))).strip()
-                for item in figure or []:
-                    item[3] = told or item[3]
-                caption = None
-            elif not closing:
+            if closes:
+                end_caption()
+            else:
+                end_caption()
                 flush()
-                caption = []
+                in_caption = True
             continue
-        if caption is None:
-            flush()
         if name == "figure":
-            figure = None if closing else []
-        elif name in MEDIA and not closing:
-            own = {a.lower(): markup.unescape(x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(m[4])}
-            source = own.get("src", "")
-            item = [MEDIA[name], None, source.removeprefix("sha256:") or None, own.get("alt") or None]
+            end_figure()
+            figure = None if closes else []
+            continue
+        if not in_caption:
+            flush()
+        else:
+            words.append(" ")
+        if name in MEDIA and not closes:
+            own = {a.lower(): markup.unescape(x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(attributes)}
+            item = [MEDIA[name], None, own.get("src", "").removeprefix("sha256:") or None, own.get("alt") or None]
             items.append(item)
             if figure is not None:
                 figure.append(item)
     words.append(page[at:])
-    flush()
+    end_figure()
     return [(k, *item) for k, item in enumerate(items)]
 
 
@@ -206,17 +277,31 @@ def payload_digest(text):
     return F.sha2(F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(ROW), F.ceil(size / ROW) * ROW).cast("int") - size)), 256)
 
 
+def page_of(text: Column, digest: Column, n_bytes: Column) -> Column:
+    """A page of a text: a paragraph for each line, and after the first half of them a figure that refers to the text's payload."""
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(escaped, "\n"), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>")))
+    half = F.floor(F.size(lines) / 2).cast("int")
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), F.array_join(F.slice(lines, 1, half), ""), figure, F.array_join(F.slice(lines, half + 1, F.size(lines)), ""), F.lit("</article>"))
+
+
 def document_media(documents: DataFrame) -> DataFrame:
-    """Each document as a page whose figure refers to the document's payload, parsed, resolved, and read back.
+    """Each document as a page of its lines with a figure between them, parsed, resolved, put in sequence and read back.
 
-    Equal texts have equal values. doc_id null stays null.
+    Equal texts have equal values. doc_id null stays null; repeated rows are told apart by a row number of the scan, kept in the
+    checkpoint of the narrow items (a text item keeps its length). n_items, media_pos and caption are those of the sequence.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = documents.select("doc_id", text.alias("text"), payload_digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    page = F.concat(
-        F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure></article>")
-    )
-    keyed = own.select(F.struct("doc_id", "n_bytes").alias("key"), page.alias("html"))
-    refs = items(keyed, "key").where("kind = 'image'").select("key.doc_id", "key.n_bytes", "pos", "digest", "caption")
+    own = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), payload_digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    keyed = own.select(F.struct("row", "doc_id", "n_bytes").alias("key"), page_of(F.col("text"), F.col("digest"), F.col("n_bytes")).alias("html"))
+    narrow = cut(items(keyed, "key").select("key", "pos", "kind", F.length("text").alias("n_chars"), "digest", "caption"))
     store = described(stored(own.select("digest", "text"), "digest"), "digest")
-    return resolved(refs, store).select("doc_id", "n_bytes", *[f.name for f in MEDIA_FIELDS], "pos", "caption")
+    names = [f.name for f in MEDIA_FIELDS]
+    found = resolved(narrow.where("digest is not null"), store)
+    others = narrow.where("digest is null").select(*[F.col(c) if c in narrow.columns else F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns])
+    whole = sequences(found.unionByName(others), "key")
+    medium = F.element_at(F.filter("sequence", lambda x: x["digest"].isNotNull()), 1)
+    return whole.select("key.doc_id", "key.n_bytes", F.size("sequence").alias("n_items"), medium.alias("m")).select(
+        "doc_id", "n_bytes", *[f"m.{n}" for n in names], "n_items", F.col("m.pos").alias("media_pos"), "m.caption",
+    )
