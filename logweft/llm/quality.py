@@ -5,7 +5,7 @@ neighbouring lines; a two-by-two matrix scores neighbouring labels. Forward-back
 being good, and the mean of these weighted by line length, with the least of them, gives the document's score
 through a logistic curve.
 
-Learning, on a bounded sample of labelled rows: the lines of good documents are good; in bad documents they start as bad, and
+Learning, on a bounded sample of labelled rows, all lines of each: the lines of good documents are good; in bad documents they start as bad, and
 those that the fitted field finds good are relabelled before it is fitted again (the worst line stays bad). No text,
 language, source or id is a feature, only the make-up of lines, so languages are treated alike.
 
@@ -18,14 +18,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField
 
-from logweft.llm.common import labelled_sample, map_texts, split_by_crc
+from logweft.llm.common import cut, labelled_sample, map_texts, split_by_crc
 
-#: Labelled documents that the field may be fitted on, and lines of each (evenly spaced) that count there.
-SAMPLE, SAMPLE_LINES = 4_000, 40
+#: Labelled documents that the field may be fitted on, and lines of them in all: documents in the order of the sample's hash, as
+#: long as those before hold fewer lines; a document counts with all its lines. Lines of a chain: longer texts are cut into several.
+SAMPLE, LINES, CHAIN = 4_000, 200_000, 64
 ROUNDS, STEPS = 3, 150
 THRESHOLD = 0.3
 SIZE = 10
@@ -70,7 +71,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def beside(x: np.ndarray) -> np.ndarray:
     """Each line's features, those of the line before and of the line after (zeros at the ends)."""
-    none = np.zeros((1, x.shape[1]))
+    none = np.zeros((1, x.shape[1]), dtype=x.dtype)
     return np.concatenate([x, np.concatenate([none, x[:-1]]), np.concatenate([x[1:], none])], 1)
 
 
@@ -160,33 +161,42 @@ def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Field | None
 
     def make():
         def work(texts: list[str]) -> list[list]:
-            out: list[list] = [[], []]
+            out: list[list] = [[], [], []]
             for text in texts:
                 x, lengths = features(text)
-                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_LINES)).astype(int))
-                out[0].append(beside(x)[at].astype("<f4").tobytes())
-                out[1].append(lengths[at].tolist())
+                for column, value in zip(out, (len(x), x.astype("<f4").tobytes(), lengths.tolist())):
+                    column.append(value)
             return out
 
         return work
 
-    fields = [StructField("x", BinaryType()), StructField("lengths", ArrayType(IntegerType()))]
-    rows = map_texts(sample, ("label",), "text", make, fields).collect()
-    chains = [np.frombuffer(r.x, dtype="<f4").reshape(-1, 3 * SIZE).astype(float) for r in rows]
+    fields = [StructField("n", IntegerType()), StructField("x", BinaryType()), StructField("lengths", ArrayType(IntegerType()))]
+    rows = cut(map_texts(sample.withColumn("at", F.xxhash64("text")), ("at", "label"), "text", make, fields))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("at", "label").rowsBetween(Window.unboundedPreceding, -1)  # of at most SAMPLE numbers
+    upto = rows.select("at", "label", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).where(F.col("before") < LINES).agg(F.max("at")).first()[0]
+    rows = rows.where(F.col("at") <= F.lit(upto)).select("label", "x", "lengths").collect() if upto is not None else []
+    texts = [np.frombuffer(r.x, dtype="<f4").reshape(-1, SIZE) for r in rows]
     good = np.array([r.label > 0 for r in rows], dtype=bool)
     if not good.any() or good.all():
         return None
-    x = np.zeros((len(chains), max(map(len, chains)), 3 * SIZE))
+    chains, owner = [], []
+    for k, t in enumerate(texts):
+        whole = beside(t).astype("<f4")
+        chains += [whole[a : a + CHAIN] for a in range(0, len(whole), CHAIN)]
+        owner += [k] * (len(chains) - len(owner))
+    owner = np.array(owner)
+    x = np.zeros((len(chains), max(map(len, chains)), 3 * SIZE), dtype="<f4")
     there = np.zeros(x.shape[:2], dtype=bool)
     for k, c in enumerate(chains):
         x[k, : len(c)], there[k, : len(c)] = c, True
-    y = np.repeat(good[:, None], x.shape[1], 1)
+    y = np.repeat(good[owner][:, None], x.shape[1], 1)
     for _ in range(ROUNDS):
         w, p = fit_field(x, there, y)
         q, _ = chain_marginals(x @ w, there, p)
-        worst = np.where(there, q, 2.0).min(1, keepdims=True)
-        y = np.where(good[:, None], True, (q > CLEAR) & (q > worst))
-    means = np.array([[1.0, *summary(marginals(c @ w, p)[0], np.array(r.lengths, dtype=float))] for c, r in zip(chains, rows)])
+        worst = np.full(len(texts), 2.0)
+        np.minimum.at(worst, owner, np.where(there, q, 2.0).min(1))
+        y = np.where(good[owner][:, None], True, (q > CLEAR) & (q > worst[owner][:, None]))
+    means = np.array([[1.0, *summary(marginals(beside(t) @ w, p)[0], np.array(r.lengths, dtype=float))] for t, r in zip(texts, rows)])
     curve = np.zeros(3)
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(means @ curve, -30, 30)))
