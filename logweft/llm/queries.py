@@ -71,4 +71,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op3_mix_sources": mixing.oracle_sql()}
+ORACLE_SQL = {"op3_mix_sources": mixing.oracle_sql(), "op7_secret_links": secrets.oracle_sql()}

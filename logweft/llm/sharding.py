@@ -1,12 +1,14 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are first dealt to partitions by a hash of doc_id. How many rows of each partition go to each shard is drawn
+Rows are first dealt to partitions by a hash of all that is looked at and of the row's place in the scan, so that one row repeated very
+often is dealt out too (the place is frozen in the checkpoint that follows). How many rows of each partition go to each shard is drawn
 exactly: the matrix of a uniform shuffle has multivariate hypergeometric rows, given what the shards still hold. Every partition
 is permuted by itself (a seeded hash order) and cut into runs of the drawn lengths; runs are exchanged to their shards,
 and each shard is permuted again, by rank within seeded buckets plus the rows in the buckets before.
 
 Law `rows`: shard sizes are N // shards, one more for the first N % shards. The matrix has PARTITIONS rows, one
-for about ROWS documents within bounds, and is the only thing on the driver; plain integers are drawn there, and all
+for about ROWS documents within bounds, and is the only thing on the driver (probabilities there are doubles, good to about 1e-16 times the logarithms of
+factorials: one part in a thousand where a shard holds 1e11 rows); plain integers are drawn there, and all
 rows are moved by DataFrame operations.
 
 Null doc_ids are one value; null texts have 0 bytes. Repeated rows are rows like any other, and as all columns that
@@ -80,9 +82,9 @@ def shards(documents: DataFrame, n: int = SHARDS, seed: int = SEED) -> DataFrame
     """doc_id, size (bytes and 1), text_crc32, law, shard, slot (0 to the shard's size less 1) and grown_shard (null)."""
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = documents.select(F.monotonically_increasing_id().alias("place"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     parts = min(MOST, max(FEWEST, math.ceil(documents.count() / ROWS)))
-    hashed = lambda k: F.xxhash64(F.lit(seed * 1000 + k), "doc_id", "size", "text_crc32")
+    hashed = lambda k: F.xxhash64(F.lit(seed * 1000 + k), "doc_id", "size", "text_crc32", "place")
     rows = rows.withColumn("part", F.pmod(hashed(1), F.lit(parts)).cast("int"))
     # reliable and narrow: the counts that are drawn from and the rows that are cut must be the same whatever is lost
     rows = cut(rows)
@@ -91,12 +93,12 @@ def shards(documents: DataFrame, n: int = SHARDS, seed: int = SEED) -> DataFrame
     ends = ";".join(",".join(str(sum(r[: s + 1])) for s in range(n)) for r in drawn)
     table = spark.range(1).select(F.posexplode(F.split(F.lit(ends), ";")).alias("part", "runs")).select("part", F.split("runs", ",").cast("array<long>").alias("runs"))
 
-    within = Window.partitionBy("part").orderBy(hashed(2), "doc_id", "size", "text_crc32")
+    within = Window.partitionBy("part").orderBy(hashed(2), "place")
     placed = rows.withColumn("at", F.row_number().over(within)).join(table, "part")
-    placed = placed.select("doc_id", "size", "text_crc32", F.size(F.filter("runs", lambda end: end < F.col("at"))).alias("shard"))
+    placed = placed.select("place", "doc_id", "size", "text_crc32", F.size(F.filter("runs", lambda end: end < F.col("at"))).alias("shard"))
 
     placed = placed.withColumn("bucket", F.pmod(hashed(3), F.lit(max(1, parts // n))).cast("int"))
-    order = Window.partitionBy("shard", "bucket").orderBy(hashed(4), "doc_id", "size", "text_crc32")
+    order = Window.partitionBy("shard", "bucket").orderBy(hashed(4), "place")
     ranked = placed.withColumn("rank", F.row_number().over(order))
     counts = placed.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

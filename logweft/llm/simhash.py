@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         """Keeps pairs of members whose sets of shingles are alike to 0.8 or more."""
         texts = nodes.join(members, "node").select("node", "row.doc_id", F.col("row.digest").alias(digest))
         hashes = lambda: lambda texts: [[np.unique(shingle_hashes(t, NEAR_SHINGLE)).view("<i8") for t in texts]]
-        sets = map_texts(rows.join(texts, ["doc_id", digest]), ("node",), "text", hashes, [StructField("set", ArrayType(LongType()))])
+        sets = map_texts(rows.select("doc_id", digest, "text").join(texts, ["doc_id", digest]), ("node",), "text", hashes, [StructField("set", ArrayType(LongType()))])
         sets = cut(sets.groupBy("node").agg(F.first("set").alias("set")))
         a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
         shared = F.size(F.array_intersect("set_a", "set_b"))

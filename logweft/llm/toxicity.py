@@ -126,6 +126,13 @@ def token_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label").mapInArrow(run, COUNTS).groupBy("token", "label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def calibrated(usual: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
+    """lambda and log K from the best segments of ordinary texts and the logarithms of their numbers of tokens."""
+    rate = float(np.clip(np.pi / math.sqrt(6) / max(usual.std(), 1e-6), 0.2, 5.0))
+    # P(rate * best - log n - log K > x) = 1 - exp(-exp(-x)) is set right at its tail
+    return rate, float(np.quantile(rate * usual - sizes, 1 - TAIL)) + math.log(-math.log1p(-TAIL))
+
+
 def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Model:
     """The model of at most SAMPLE labelled rows; learnable: a condition on label rows.
 
@@ -145,9 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Model:
     found = measured(sample, ("label",), model).select("label", "best", "n_words").toArrow()
     label, best = found["label"].to_numpy() > 0, found["best"].to_numpy()
     usual, sizes = best[~label], np.log(np.maximum(found["n_words"].to_numpy()[~label], 1))
-    model.rate = float(np.clip(np.pi / math.sqrt(6) / max(usual.std(), 1e-6), 0.2, 5.0))
-    # P(rate * best - log n - log K > x) = 1 - exp(-exp(-x)) is set right at its tail
-    model.log_k = float(np.quantile(model.rate * usual - sizes, 1 - TAIL)) + math.log(-math.log1p(-TAIL))
+    model.rate, model.log_k = calibrated(usual, sizes)
     found = measured(sample, ("label",), model).select("label", "together").toArrow()
     model.slope, model.offset = logistic(found["together"].to_numpy(), (found["label"].to_numpy() > 0).astype(float))
     return model
