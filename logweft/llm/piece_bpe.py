@@ -7,9 +7,10 @@ Aho-Corasick pass), steps to shorter pieces while the neighbour before is incomp
 token when none is left, and never returns to a position in the bitfield of failed ones.
 
 No piece of a vocabulary split at spaces holds a space mark after another character, so texts are cut
-before such marks and each distinct chunk is encoded once a task (within a bound on remembered chunks).
+before such marks and each distinct chunk is encoded once a worker (within a bound on remembered chunks).
 
-Null and empty texts give the end id alone, decoded as the empty text. Normalisation is the model's: this module
+Null and empty texts give the end id alone, decoded as the empty text. Every row is encoded by itself: repeated rows and ties give
+repeated results, an empty table gives an empty result, and other columns are not read but for those named in keep. Normalisation is the model's: this module
 handles models that change nothing but put a space before the text (checked when the model is loaded).
 """
 
@@ -28,7 +29,9 @@ from logweft.llm.common import map_texts
 
 MARK = "▁"
 #: Words and pairs of tokens that a worker remembers.
-REMEMBERED, PAIRS = 500_000, 400_000
+REMEMBERED, PAIRS = 250_000, 250_000
+#: Bytes of the bitfield of words met.
+SEEN = 1 << 20
 LONGEST_REMEMBERED = 64
 PROBE = "  ﬁ é\t　x \n"
 
@@ -60,6 +63,7 @@ class PieceBPE:
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.own = {p: p for p in self.ids}
         # a piece that merging can't build never stands in an encoding
         self.whole = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.shorter: dict[str, str | None] = {}
@@ -94,8 +98,8 @@ class PieceBPE:
 
     def compatible(self, left: str, right: str) -> bool:
         got = self.merged(left + right) == [left, right]
-        if len(self.pairs) < PAIRS:
-            self.pairs[left, right] = got
+        if len(self.pairs) < PAIRS:  # under the vocabulary's own strings
+            self.pairs[self.own.get(left, left), self.own.get(right, right)] = got
         return got
 
     def split(self, text: str) -> list[str]:
@@ -205,34 +209,53 @@ FIELDS = [
 
 
 class Known(dict):
-    """Word to ids as text, their number, and what they decode to if that is not the word after a space.
+    """Word to ids as text. A word that decodes to anything but itself after a space has that in `back`.
 
     A chunk starts with the space mark, which is a piece, so no run of byte ids goes over the end of a chunk and chunks
-    can be decoded one by one.
+    can be decoded one by one. At most REMEMBERED words are kept, from the second time on; `back` of others goes when forget() is called.
     """
 
     def __init__(self, bpe: PieceBPE):
         self.bpe = bpe
+        self.back: dict[str, str] = {}
+        self.passing: list[str] = []
+        self.seen = bytearray(SEEN)
 
-    def __missing__(self, word: str) -> tuple[str, int, str | None]:
+    def __missing__(self, word: str) -> str:
         if 1 < len(word) <= LONGEST_REMEMBERED and word[-2:] not in self.bpe.beside:
             # no piece has these two characters beside each other, so no merge goes over this place
             first, end = self[word[:-1]], self.bpe.chunk_ids(word[-1])
-            ids, last = first[0].split(" ") + end, self.bpe.read(end)
-            back = (" " + word[:-1] if first[2] is None else first[2]) + last
+            ids, back = f"{first} {' '.join(map(str, end))}", self.back.get(word[:-1], " " + word[:-1]) + self.bpe.read(end)
         else:
-            ids = self.bpe.chunk_ids(MARK + word)
-            back = self.bpe.read(ids)
-        got = " ".join(map(str, ids)), len(ids), None if back[:1] == " " and back[1:] == word else back
-        if len(self) < REMEMBERED and len(word) <= LONGEST_REMEMBERED:
-            self[word] = got
-        return got
+            got = self.bpe.chunk_ids(MARK + word)
+            ids, back = " ".join(map(str, got)), self.bpe.read(got)
+        kept = len(self) < REMEMBERED and len(word) <= LONGEST_REMEMBERED and self.met(word)
+        if kept:
+            self[word] = ids
+        if back[:1] != " " or back[1:] != word:
+            self.back[word] = back
+            if not kept:
+                self.passing.append(word)
+        return ids
+
+    def met(self, word: str) -> bool:
+        """Whether a word with this hash was met before (most words are met once, and need no memory)."""
+        at = hash(word) & (8 * len(self.seen) - 1)
+        before = self.seen[at >> 3] >> (at & 7) & 1
+        self.seen[at >> 3] |= 1 << (at & 7)
+        return bool(before)
+
+    def forget(self) -> None:
+        for word in self.passing:
+            self.back.pop(word, None)
+        self.passing.clear()
 
 
 @lru_cache(1)
 def _digests(model_file: str):
     bpe = load(model_file)
     known = Known(bpe)
+    end = str(bpe.end)
 
     def work(texts: list[str]) -> list[list]:
         counts, shas, decoded = [], [], []
@@ -243,13 +266,14 @@ def _digests(model_file: str):
                 words = [c[1:] for c in bpe.chunks(text)]
             else:
                 words = text.split(" ")
-            ids, numbers, back = zip(*map(known.__getitem__, words)) if words else ((), (), ())
-            if any(back):
-                text = "".join([" " + w if b is None else b for w, b in zip(words, back)])[1:]
+            ids = " ".join([*map(known.__getitem__, words), end])
+            if known.back and not known.back.keys().isdisjoint(words):
+                text = "".join([known.back.get(w) or " " + w for w in words])[1:]
+                known.forget()
             else:
                 text = " ".join(words)
-            counts.append(sum(numbers) + 1)
-            shas.append(hashlib.sha256(" ".join((*ids, str(bpe.end))).encode()).hexdigest())
+            counts.append(ids.count(" ") + 1)
+            shas.append(hashlib.sha256(ids.encode()).hexdigest())
             decoded.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
         return [counts, shas, decoded]
 
