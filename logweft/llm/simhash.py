@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ SHINGLES_AT_ONCE = 2048
 #: Bytes of a block, as offsets from its number; the later blocks, numbered from 8 * WORDS, have the second kind.
 STEPS = ((0, 5, 13), (0, 3, 14))
 #: Rounds that link members of a block to a centre, and nodes to a side of a page in which the pairs that are left are compared.
-CENTRES, PAGE = 4, 1000
+CENTRES, PAGE = 4, 400
 #: Fixed odd multipliers that make further words of a hash.
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -164,48 +165,95 @@ def apart(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
-def wide_links(nodes: DataFrame, blocks: Column | None = None, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Links (a, b), a < b, that join nodes (node, fp) as all pairs which share a block and differ in at most WIDE_BITS bits would.
-
-    A node's blocks are the array `blocks`; without it, BLOCKS blocks of three bytes of the fingerprint each, no two having more
-    than a byte in common. The verifier gets the nodes that share a block; what it returns leaves of pairs (a, b) those that are links.
-
-    In each block the least node is linked to those near it, then the least of those near no earlier centre to all others near it,
-    while over BLOCK_PAIRS are near no centre and for at most CENTRES rounds. Two nodes of one centre are joined by it; all other
-    pairs of the block are compared, in pages of about PAGE by PAGE nodes.
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are alike to 0.8 or more: i shared of m and n, i / (m + n - i) >= 4 / 5."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(b, "b").join(a, "a").where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+
+def page_links(x: pd.DataFrame, y: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Links between a page's nodes x (outside the component of the block's least label) and y; pairs of two such nodes count once."""
+    found: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        fp = np.array(y["fp"].tolist(), dtype="<i8").view("<u8")
+        keys, node, label = np.array(y["keys"].tolist(), dtype="<i8"), y["node"].to_numpy(), y["label"].to_numpy()
+        inside, sets = ~y["other"].to_numpy(dtype=bool), [np.asarray(s, dtype="<i8") for s in y["set"]]
+        size = np.array([len(s) for s in sets])
+        for n, f, k, own, s in zip(x["node"], x["fp"], x["keys"], x["label"], x["set"]):
+            first = int(np.flatnonzero(np.asarray(k) == x["key"].iloc[0])[0])
+            far = np.bitwise_count(fp ^ np.asarray(f, dtype="<i8").view("<u8")).sum(1) > bits
+            near = np.flatnonzero(~far & (label != own) & (inside | (node > n)) & ~(keys[:, :first] == np.asarray(k)[:first]).any(1))
+            if size.any() and len(near):
+                own_set, flat = np.sort(np.asarray(s, dtype="<i8")), np.concatenate([sets[j] for j in near])
+                at = np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)
+                shared = np.bincount(np.repeat(np.arange(len(near)), size[near]), own_set[at] == flat, len(near))
+                near = near[9 * shared >= 4 * (len(own_set) + size[near])]
+            found += [(min(n, m), max(n, m)) for m in node[near].tolist()]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, label) of nodes (node, fp) that are linked: label is the least node that links reach.
+
+    Links are all pairs that share a block and differ in at most WIDE_BITS bits. A node's blocks are the array `blocks`; without
+    it, BLOCKS blocks of three bytes of the fingerprint each, no two having more than a byte in common. The verifier gets the nodes that
+    share a block and gives (node, set); of two nodes that are near, those are linked whose sets are alike to 0.8 or more.
+
+    In each block the node that meets most others in all blocks (the least of them) is linked to those near it, then the
+    first of those near no earlier centre to all others near it, while over BLOCK_PAIRS are near no centre and for at most CENTRES rounds. The stars of all blocks make components. Only pairs of
+    different components can still change the groups, so these pairs of a block are compared, in pages of about PAGE by PAGE
+    nodes, each pair in the first block that it shares; blocks that lie in one component, however large, need none. A page gives
+    its links alone. In the worst case (a block of many texts that are nearly, but not quite, alike) that is a comparison for each pair of a block.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
     keys = blocks if blocks is not None else F.array(*[F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]) for t in range(BLOCKS)])
-    placed = nodes.select("node", F.explode(keys).alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    members = cut(placed.join(shared, "key").join(nodes.select("node", "fp"), "node").withColumn("centre", F.lit(None).cast("long")))
-    verified = verifier(members.select("node").distinct()) if verifier else lambda pairs: pairs
-    prints = nodes.select(F.col("node").alias("least"), F.col("fp").alias("least_fp"))
+    nodes = nodes.select("node", "fp", keys.alias("keys"))
+    placed = nodes.select("node", "fp", F.explode("keys").alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a node that meets many others is likelier to be what they are copies of
+    met = placed.select("key", "node").join(shared, "key").groupBy("node").agg(F.sum("n").alias("met"))
+    members = cut(placed.join(shared.select("key"), "key").join(met, "node").select("key", "node", "fp", "met", F.lit(None).cast("long").alias("centre")))
+    sets = verifier(members.select("node").distinct()) if verifier else None
+    verified = (lambda pairs: alike(pairs, sets)) if verifier else lambda pairs: pairs
     links = None
     for _ in range(CENTRES):
         free = members.where("centre is null")
-        least = free.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("free"))
-        least = cut(least.where((F.col("free") > (0 if links is None else BLOCK_PAIRS)) & (F.col("free") > 1)))
+        least = free.groupBy("key").agg(F.min(F.struct(-F.col("met"), "node", "fp")).alias("c"), F.count("*").alias("free"))
+        least = cut(least.where((F.col("free") > (0 if links is None else BLOCK_PAIRS)) & (F.col("free") > 1)).select("key", F.col("c.node").alias("least"), F.col("c.fp").alias("least_fp")))
         if links is not None and not least.limit(1).count():
             break
-        near = members.join(least.select("key", "least"), "key").join(prints, "least").where((F.col("node") != F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
+        near = members.join(least, "key").where((F.col("node") != F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
         found = cut(verified(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
         members = members.join(least.select("key", "least"), "key", "left").join(found.select(F.col("a").alias("least"), F.col("b").alias("node"), F.lit(True).alias("near")), ["least", "node"], "left")
         joined = F.col("near") | (F.col("node") == F.col("least"))
-        members = cut(members.select("key", "node", "fp", "n", "first", F.coalesce("centre", F.when(joined, F.col("least"))).alias("centre")))
-
-    # the others are those not joined to the least of the block
-    members = members.withColumn("other", F.coalesce(F.col("centre") != F.col("first"), F.lit(True)))
-    others = members.where("other").groupBy("key").agg(F.ceil(F.count("*") / PAGE).alias("high"))
-    members = members.where("node <> first").join(others, "key").withColumn("wide", F.ceil(F.col("n") / PAGE))
+        members = cut(members.select("key", "node", "fp", "met", F.coalesce("centre", F.when(joined, F.col("least"))).alias("centre")))
+
+    labels = components(contracted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).select("node", "label")
+    members = cut(members.select("key", "node", "fp").join(labels, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")))
+    # the others of a block: those outside the component of its least label; blocks of one component have none
+    sizes = members.groupBy("key").agg(F.min("label").alias("own"), F.max("label").alias("last"), F.count("*").alias("n")).where("own <> last")
+    members = members.join(sizes.select("key", "own", F.ceil(F.col("n") / PAGE).alias("wide")), "key").withColumn("other", F.col("label") != F.col("own"))
+    members = members.join(members.where("other").groupBy("key").agg(F.ceil(F.count("*") / PAGE).alias("high")), "key")
+    whole = members.join(nodes.select("node", "keys"), "node")
+    whole = whole.join(sets, "node") if verifier else whole.withColumn("set", F.array().cast("array<bigint>"))
     page = lambda pages: F.pmod(F.xxhash64("node"), pages)
     every = lambda pages: F.explode(F.sequence(F.lit(0).cast("long"), pages.cast("long") - 1))
-    x = members.where("other").select("key", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("centre").alias("centre_a"), page(F.col("high")).alias("row"), every(F.col("wide")).alias("column"))
-    y = members.select("key", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("centre").alias("centre_b"), "other", page(F.col("wide")).alias("column"), every(F.col("high")).alias("row"))
-    apart_yet = ~F.coalesce(F.col("centre_a") == F.col("centre_b"), F.lit(False)) & (~F.col("other") | (F.col("a") < F.col("b")))
-    met = x.join(y, ["key", "row", "column"]).where(apart_yet & (apart(F.col("fp_a"), F.col("fp_b")) <= WIDE_BITS))
-    return links.unionByName(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    side = ("key", "node", "fp", "label", "keys", "set", "other")
+    x = whole.where("other").select(*side, page(F.col("high")).alias("row"), every(F.col("wide")).alias("column"))
+    y = whole.toDF(*whole.columns).select(*side, page(F.col("wide")).alias("column"), every(F.col("high")).alias("row"))
+    place = ["key", "row", "column"]
+    bits = WIDE_BITS
+    rest = cut(x.groupBy(*place).cogroup(y.groupBy(*place)).applyInPandas(lambda left, right: page_links(left, right, bits), "a bigint, b bigint").distinct())
+    if not rest.limit(1).count():
+        return labels
+    # components of components
+    of = members.select("node", "label").distinct()
+    ends = rest.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    upper = components(contracted(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select(F.col("node").alias("own"), F.col("label").alias("top"))
+    every_node = labels.unionByName(ends.select(F.col("x").alias("node"), F.col("x").alias("label")).unionByName(ends.select(F.col("y").alias("node"), F.col("y").alias("label")))).distinct()
+    return cut(every_node.join(upper, F.col("label") == F.col("own"), "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -222,18 +270,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = map_texts(rows, ("doc_id", digest), "text", make, fields).withColumnRenamed(digest, "digest")
     nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min(F.struct("doc_id", "digest")).alias("row")))
 
-    def verifier(members: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        """Keeps pairs of members whose sets of shingles are alike to 0.8 or more."""
+    def verifier(members: DataFrame) -> DataFrame:
+        """(node, set of hashes of shingles) of members."""
         texts = nodes.join(members, "node").select("node", "row.doc_id", F.col("row.digest").alias(digest))
         hashes = lambda: lambda texts: [[np.unique(shingle_hashes(t, NEAR_SHINGLE)).view("<i8") for t in texts]]
         sets = map_texts(rows.select("doc_id", digest, "text").join(texts, ["doc_id", digest]), ("node",), "text", hashes, [StructField("set", ArrayType(LongType()))])
-        sets = cut(sets.groupBy("node").agg(F.first("set").alias("set")))
-        a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        # i shared of m and n: i / (m + n - i) >= 4 / 5
-        return lambda pairs: pairs.join(b, "b").join(a, "a").where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+        return cut(sets.groupBy("node").agg(F.first("set").alias("set")))
 
-    joined = components(contracted(wide_links(nodes, F.col("bands"), verifier))).select("node", "label")
+    joined = wide_groups(nodes, F.col("bands"), verifier)
     groups = nodes.select("node", "row").join(joined, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     kept = groups.agg(F.min("row").alias("row")).select("row.doc_id", F.col("row.digest").alias(digest))
     # copies of a row go before the shuffle

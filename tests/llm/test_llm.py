@@ -365,17 +365,17 @@ def wide_prints(n, seed=3):
     return [np.packbits(b, bitorder="little").view("<i8").tolist() for b in map(lambda b: b.astype(np.uint8), bits)]
 
 
-def test_wide_links_are_all_pairs_of_blocks(spark):
+def test_wide_groups_are_all_pairs_of_blocks(spark):
     prints = wide_prints(300)
     raw = [np.array(p, dtype="<i8").tobytes() for p in prints]
     near = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(raw[i], raw[j])) <= simhash.WIDE_BITS
     meet = lambda i, j: any(all(raw[i][k] == raw[j][k] for k in simhash.block_bytes(t)) for t in range(simhash.BLOCKS))
     want = components_of((i, j) for i in range(300) for j in range(i) if near(i, j) and meet(i, j))
     nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp array<long>")
-    assert len(want) > 30 and components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect()) == want
+    assert len(want) > 30 and {r.node: r.label for r in simhash.wide_groups(nodes).collect()} == want
 
 
-def test_wide_links_of_large_blocks(spark, monkeypatch):
+def test_wide_groups_of_large_blocks(spark, monkeypatch):
     """Three families far from each other in one hot block: members far from the least go on to smaller blocks."""
     monkeypatch.setattr(simhash, "BLOCK_PAIRS", 4)
     rng = np.random.default_rng(5)
@@ -388,10 +388,10 @@ def test_wide_links_of_large_blocks(spark, monkeypatch):
             one[1 + k % 4] ^= 1 + k
             families.append(one.view("<i8").tolist())
     nodes = spark.createDataFrame(list(enumerate(families)), "node long, fp array<long>")
-    assert components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect()) == {k: k // 30 * 30 for k in range(90)}
+    assert {r.node: r.label for r in simhash.wide_groups(nodes).collect()} == {k: k // 30 * 30 for k in range(90)}
 
 
-def test_wide_links_of_a_block_of_thousands(spark, monkeypatch):
+def test_wide_groups_of_a_block_of_thousands(spark, monkeypatch):
     """As brute force in blocks of 2,000: near and not near the least, families and their fringes, more than one page."""
     monkeypatch.setattr(simhash, "PAGE", 300)
     monkeypatch.setattr(simhash, "WIDE_BITS", 36)
@@ -403,7 +403,7 @@ def test_wide_links_of_a_block_of_thousands(spark, monkeypatch):
     words = raw.view("<u8")
     near = [(i, int(j)) for i in range(2000) for j in np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1) <= simhash.WIDE_BITS)]
     nodes = spark.createDataFrame(list(enumerate(raw.view("<i8").tolist())), "node long, fp array<long>")
-    got = components_of((r.a, r.b) for r in simhash.wide_links(nodes).collect())
+    got = {r.node: r.label for r in simhash.wide_groups(nodes).collect()}
     assert got == components_of(near) and len(near) > 10_000
 
 
