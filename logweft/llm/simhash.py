@@ -213,22 +213,21 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a node that meets many others is likelier to be what they are copies of
     met = placed.select("key", "node").join(shared, "key").groupBy("node").agg(F.sum("n").alias("met"))
-    members = cut(placed.join(shared.select("key"), "key").join(met, "node").select("key", "node", "fp", "met", F.lit(None).cast("long").alias("centre")))
+    members = cut(placed.join(shared.select("key"), "key").join(met, "node").select("key", "node", "fp", "met"))
     sets = verifier(members.select("node").distinct()) if verifier else None
     verified = (lambda pairs: alike(pairs, sets)) if verifier else lambda pairs: pairs
-    links = None
+    links, free = None, members
     for _ in range(CENTRES):
-        free = members.where("centre is null")
         least = free.groupBy("key").agg(F.min(F.struct(-F.col("met"), "node", "fp")).alias("c"), F.count("*").alias("free"))
         least = cut(least.where((F.col("free") > (0 if links is None else BLOCK_PAIRS)) & (F.col("free") > 1)).select("key", F.col("c.node").alias("least"), F.col("c.fp").alias("least_fp")))
         if links is not None and not least.limit(1).count():
             break
-        near = members.join(least, "key").where((F.col("node") != F.col("least")) & (apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS))
+        around = free.join(least, "key").where(F.col("node") != F.col("least"))
+        near = around.where(apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS)
         found = cut(verified(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
-        members = members.join(least.select("key", "least"), "key", "left").join(found.select(F.col("a").alias("least"), F.col("b").alias("node"), F.lit(True).alias("near")), ["least", "node"], "left")
-        joined = F.col("near") | (F.col("node") == F.col("least"))
-        members = cut(members.select("key", "node", "fp", "met", F.coalesce("centre", F.when(joined, F.col("least"))).alias("centre")))
+        # only those near no centre go on, and only in blocks that had one
+        free = cut(around.join(found.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti").select("key", "node", "fp", "met"))
 
     labels = components(contracted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).select("node", "label")
     members = cut(members.select("key", "node", "fp").join(labels, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")))
