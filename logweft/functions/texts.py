@@ -70,3 +70,13 @@ def file_size(n: Column) -> Column:
     return (
         F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
     )
+
+
+def compact(value: Column) -> Column:
+    """A number with two places at most and no zeros at the end, then a times sign."""
+    return F.concat(F.regexp_replace(F.format_string("%.2f", value), r"\.?0+\z", ""), F.lit("×"))
+
+
+def same_glyphs(text: Column) -> Column:
+    """Text with glyphs that look alike put as one: two apostrophes as a quote, l as I."""
+    return F.replace(F.replace(text, F.lit("''"), F.lit('"')), F.lit("l"), F.lit("I"))

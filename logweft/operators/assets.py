@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.operators.counts import first_rows
@@ -79,3 +79,36 @@ def result_summary(results: DataFrame) -> DataFrame:
     """total, ok, errors and rejected (the rest)."""
     ok, errors = F.count_if(F.col("status") == "accepted"), F.count_if(F.col("rejection_reason") == "ocr_error")
     return results.agg(F.count("*").alias("total"), ok.alias("ok"), (F.count("*") - ok - errors).alias("rejected"), errors.alias("errors"))
+
+
+#: What a person reads for a reason code; other codes are shown as they are.
+REASONS = {"not_a_use": "Not a line of use", "bad_player": "The player's name is not one word", "bad_item": "The item has no name", "ocr_error": "The line could not be read"}
+
+
+def reason_text(code: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    return F.coalesce(known[code], code)
+
+
+def refused(results: DataFrame) -> DataFrame:
+    """Rejected or failed results, with what a person reads."""
+    return results.where(F.col("status").isin("rejected", "failed")).withColumn("reason", reason_text(F.col("rejection_reason")))
+
+
+def saved(images: DataFrame, slices: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a session keeps: images that are not rejected, their slices, and the results of these."""
+    kept = images.where("status <> 'rejected'")
+    own = slices.join(kept.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    return kept, own, results.join(own.select("slice_id"), "slice_id", "left_semi")
+
+
+def issues(slices: DataFrame, results: DataFrame, manual: DataFrame) -> DataFrame:
+    """slice_id of slices whose result was refused, its reason, and the id of the record typed in for it, if any."""
+    typed = manual.select(F.col("source_slice_id").alias("slice_id"), F.col("id").alias("manual_id"))
+    return refused(results).join(slices.select("slice_id"), "slice_id", "left_semi").join(typed, "slice_id", "left").select("slice_id", "reason", "manual_id")
+
+
+def openable(images: DataFrame, slices: DataFrame) -> DataFrame:
+    """One row: whether there is an active image and a slice of one."""
+    has = lambda df: df.limit(1).agg(F.count("*") > 0)
+    return has(active(images)).toDF("image").crossJoin(has(of_active(slices, images)).toDF("slice")).select((F.col("image") & F.col("slice")).alias("openable"))

@@ -29,6 +29,11 @@ def json_row() -> Column:
     return F.to_json(row, {"ignoreNullFields": "false"})
 
 
+def csv_document(rows: DataFrame) -> DataFrame:
+    """line_no (0: the header) and line of the document; rows are located() ones, in order of ord. Lines join by line feeds, none after the last."""
+    return rows.select((F.col("ord") + 1).alias("line_no"), csv_line().alias("line")).unionByName(rows.sparkSession.range(1).select(F.col("id").alias("line_no"), F.lit(HEADER).alias("line")))
+
+
 def mime(kind: str) -> str:
     return {"csv": "text/csv", "json": "application/json"}.get(kind, "text/plain")
 

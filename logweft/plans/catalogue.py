@@ -5,10 +5,12 @@ Events stand for use records, documents for image files and their crops, pages f
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.functions import texts, times
+from logweft.functions import pixels, texts, times
 from logweft.operators import assets, counts, export, glyphs, review, stages, timeline
 from logweft.sources.records import ITEMS, item_dimension, records, table
 
@@ -364,6 +366,91 @@ def ocr_roundtrip(spark, sf_dir):
     return glyphs.decoded(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", font), "ord", font, WIDTHS)
 
 
+@query(f"""with {REC} select id, player, timestamp, row_number() over (partition by player order by timestamp, id)::int as nth from rec where player in ('user7', 'user8')""")
+def cleanup_rows(spark, sf_dir):
+    return review.of_players(records(spark, sf_dir), ["user7", "user8"]).select("id", "player", "timestamp", "nth")
+
+
+REASON = "case rejection_reason " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in assets.REASONS.items()) + " else rejection_reason end as reason"
+
+
+@query(f"with {IMAGES} select slice_id, {REASON} from results where status in ('rejected', 'failed')")
+def refused_results(spark, sf_dir):
+    return assets.refused(results(spark, sf_dir)).select("slice_id", "reason")
+
+
+@query(f"""with {IMAGES}, s as (select * from slices where image_id in (select id from images where status <> 'rejected'))
+  select 'image' as part, id::varchar as id from images where status <> 'rejected' union all select 'slice', slice_id from s union all select 'result', slice_id from results where slice_id in (select slice_id from s)""")
+def session_saved(spark, sf_dir):
+    kept, own, found = assets.saved(images(spark, sf_dir), slices(spark, sf_dir), results(spark, sf_dir))
+    rows = lambda df, part, name: df.select(F.lit(part).alias("part"), F.col(name).cast("string").alias("id"))
+    return rows(kept, "image", "id").unionByName(rows(own, "slice", "slice_id")).unionByName(rows(found, "result", "slice_id"))
+
+
+@query(f"""with {IMAGES} select slice_id, {REASON}, case when k = 2 then 'manual_' || slice_id end as manual_id from results join slices using (slice_id)
+  where results.status in ('rejected', 'failed') and slice_id in {ACTIVE}""")
+def issues(spark, sf_dir):
+    typed = slices(spark, sf_dir).where("k = 2").select(F.concat(F.lit("manual_"), "slice_id").alias("id"), F.col("slice_id").alias("source_slice_id"))
+    return assets.issues(assets.of_active(slices(spark, sf_dir), images(spark, sf_dir)), results(spark, sf_dir), typed)
+
+
+@query(f"""with {REC} select id, source_slice_id, case when ord % 4 = 1 then 'typed' else player end as player from rec where ord % 3 = 0 and ord % 4 <> 2""")
+def manual_upsert(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    old = rows.where("ord % 3 = 0")
+    new = old.where("ord % 4 in (1, 2)").withColumn("player", F.when(F.col("ord") % 4 == 1, "typed").otherwise(" "))
+    return review.typed_in(old, new).select("id", "source_slice_id", "player")
+
+
+@query(f"with {IMAGES} select exists (select 1 from slices where slice_id in {ACTIVE}) as openable")
+def stage_openable(spark, sf_dir):
+    return assets.openable(images(spark, sf_dir), slices(spark, sf_dir))
+
+
+@query(f"""with {PLACED} select 0::bigint as line_no, '{export.HEADER}' as line union all
+  select ord + 1, substr(timestamp, 2, 8) || ',' || player || ',' || item || ',' || case when image_file_name is null then 'unknown.png,' else '"' || image_file_name || '",' || display_id end from e""")
+def export_csv_document(spark, sf_dir):
+    return export.csv_document(exported(spark, sf_dir))
+
+
+@query("""with v as (select event_id, (event_id * 37 % 256)::int as r, (event_id * 91 % 256)::int as g, (event_id * 53 % 256)::int as b from events),
+  m as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from v), h as (select *, hi - lo as span, case when hi = lo then 0.0 else (case when hi = r then (g - b) / (hi - lo)::double when hi = g then (b - r) / (hi - lo)::double + 2
+    else (r - g) / (hi - lo)::double + 4 end) / 6 end as sixth from m)
+  select event_id, round(case when sixth < 0 then sixth + 1 else sixth end, 6)::double as hue, round(case when hi = 0 then 0.0 else span / hi::double end, 6)::double as saturation, round(hi / 255.0, 6)::double as value,
+    (r % 2) + 2 * (g % 2) + 4 * (b % 2) as bits, (list_sort([r, g, b, 7]))[3] as middle from h""")
+def pixel_scalars(spark, sf_dir):
+    channel = lambda k: (F.col("event_id") * k % 256).cast("int")
+    v = table(spark, sf_dir, "events").select("event_id", channel(37).alias("r"), channel(91).alias("g"), channel(53).alias("b"))
+    hue, saturation, value = (F.round(c, 6) for c in pixels.hsv(F.col("r"), F.col("g"), F.col("b")))
+    bits = pixels.packed_bits(F.array(*[F.col(c) % 2 == 1 for c in "rgb"]))
+    return v.select("event_id", hue.alias("hue"), saturation.alias("saturation"), value.alias("value"), bits.alias("bits"), pixels.upper_median(F.array("r", "g", "b", F.lit(7))).alias("middle"))
+
+
+@query("""select event_id, case when event_id % 4 = 0 then (event_id // 4)::varchar when event_id % 2 = 0 then (event_id // 4) || '.5' else (event_id // 4) || case event_id % 4 when 1 then '.25' else '.75' end end || '×' as compact,
+  replace(replace(event_type || chr(39) || chr(39), chr(39) || chr(39), '"'), 'l', 'I') as alike from events""")
+def label_scalars(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", texts.compact(F.col("event_id") / 4).alias("compact"), texts.same_glyphs(F.concat("event_type", F.lit("''"))).alias("alike"))
+
+
+@query("""select page_id as image_id, (page_id % 9)::int as left, (page_id % 5)::int as top, 800 as width, 600 as height, (page_id % 9 + (8 - page_id % 5) + page_id % 5 + (12 - page_id % 9))::int as adjustment from pages""")
+def frame_detect(spark, sf_dir):
+    def drawn(frames):
+        mark = glyphs.patch()
+        for f in frames:
+            made = []
+            for i in f["page_id"]:
+                left, top = int(i) % 9, int(i) % 5
+                shot = np.zeros((608, 812, 3), dtype=np.uint8)
+                shot[top + 600 - glyphs.PATCH[0] : top + 600, left : left + glyphs.PATCH[1]] = mark
+                made.append((i, 608, 812, shot.tobytes()))
+                if len(made) == 16:
+                    yield pd.DataFrame(made, columns=["image_id", "rows", "cols", "data"])
+                    made = []
+            yield pd.DataFrame(made, columns=["image_id", "rows", "cols", "data"])
+
+    return glyphs.frames(table(spark, sf_dir, "pages").select("page_id").mapInPandas(drawn, "image_id bigint, rows int, cols int, data binary"))
+
+
 @query()
 def anchor_candidates(spark, sf_dir):
     font = glyphs.font(spark, CHARS)
