@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         lower = lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label"))
         lower = cut(lower)
-        changed = lower.where("old <> label").limit(1).count()
+        settled = lower.where("old <> label").isEmpty()
         labels = lower.select("node", "label")
-        if not changed:
+        if settled:
             return labels

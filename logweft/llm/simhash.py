@@ -201,8 +201,8 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     share a block and gives (node, set); of two nodes that are near, those are linked whose sets are alike to 0.8 or more.
 
     In each block the node that meets most others in all blocks (the least of them) is linked to those near it, then the
-    first of those near no earlier centre to all others near it, while over BLOCK_PAIRS are near no centre and for at most CENTRES rounds. The stars of all blocks make components. Only pairs of
-    different components can still change the groups, so these pairs of a block are compared, in pages of about PAGE by PAGE
+    first of those near no earlier centre to all others near it, while over BLOCK_PAIRS are near no centre, as long as a round gives as many links as it has centres, and for at most
+    CENTRES rounds. (Rounds only spare comparisons: what they leave is compared all the same.) The stars of all blocks make components. Only pairs of different components can still change the groups, so these pairs of a block are compared, in pages of about PAGE by PAGE
     nodes, each pair in the first block that it shares; blocks that lie in one component, however large, need none. A page gives
     its links alone. In the worst case (a block of many texts that are nearly, but not quite, alike) that is a comparison for each pair of a block.
     """
@@ -217,20 +217,24 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     sets = verifier(members.select("node").distinct()) if verifier else None
     verified = (lambda pairs: alike(pairs, sets)) if verifier else lambda pairs: pairs
     links, free = None, members
-    for _ in range(CENTRES):
+    for turn in range(CENTRES):
         least = free.groupBy("key").agg(F.min(F.struct(-F.col("met"), "node", "fp")).alias("c"), F.count("*").alias("free"))
         least = cut(least.where((F.col("free") > (0 if links is None else BLOCK_PAIRS)) & (F.col("free") > 1)).select("key", F.col("c.node").alias("least"), F.col("c.fp").alias("least_fp")))
-        if links is not None and not least.limit(1).count():
+        centres = 0 if links is None else least.count()
+        if links is not None and not centres:
             break
         around = free.join(least, "key").where(F.col("node") != F.col("least"))
         near = around.where(apart(F.col("fp"), F.col("least_fp")) <= WIDE_BITS)
         found = cut(verified(near.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
         links = found if links is None else links.unionByName(found)
+        if turn == CENTRES - 1 or (centres and found.count() < centres):
+            break
         # only those near no centre go on, and only in blocks that had one
         free = cut(around.join(found.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti").select("key", "node", "fp", "met"))
 
     labels = components(contracted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).select("node", "label")
     members = cut(members.select("key", "node", "fp").join(labels, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")))
+    of = members.select("node", "label").distinct()
     # the others of a block: those outside the component of its least label; blocks of one component have none
     sizes = members.groupBy("key").agg(F.min("label").alias("own"), F.max("label").alias("last"), F.count("*").alias("n")).where("own <> last")
     members = members.join(sizes.select("key", "own", F.ceil(F.col("n") / PAGE).alias("wide")), "key").withColumn("other", F.col("label") != F.col("own"))
@@ -245,11 +249,11 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     place = ["key", "row", "column"]
     bits = WIDE_BITS
     rest = cut(x.groupBy(*place).cogroup(y.groupBy(*place)).applyInPandas(lambda left, right: page_links(left, right, bits), "a bigint, b bigint").distinct())
-    if not rest.limit(1).count():
+    if rest.isEmpty():
         return labels
     # components of components
-    of = members.select("node", "label").distinct()
     ends = rest.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    ends = cut(ends.select("x", "y").distinct())
     upper = components(contracted(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select(F.col("node").alias("own"), F.col("label").alias("top"))
     every_node = labels.unionByName(ends.select(F.col("x").alias("node"), F.col("x").alias("label")).unionByName(ends.select(F.col("y").alias("node"), F.col("y").alias("label")))).distinct()
     return cut(every_node.join(upper, F.col("label") == F.col("own"), "left").select("node", F.coalesce("top", "label").alias("label")))
