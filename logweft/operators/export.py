@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweft.functions import texts, times
+from logweft.operators import packing
 
 LIMIT = 2000
 HEADER = "time,player,item,source,line from bottom"
@@ -44,64 +42,43 @@ def file_name(at: Column, kind: str, prefix: str = "log", message: int | None =
     return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(f"{suffix}.{ending}"))
 
 
-def units(text: str) -> int:
-    return len(text.encode("utf-16-le")) // 2
-
-
-def fitted(heading: str, lines: list[str], limit: int = LIMIT) -> list[str]:
-    """heading and lines in as many messages as it takes, each with the heading."""
-    out, current = [], heading
-    for line in lines:
-        if units(current) + 1 + units(line) <= limit:
-            current += "\n" + line
-        else:
-            out.append(current)
-            current = heading + "\n" + line
-    return [*out, current]
-
-
-BLOCK = "player string, part int, text string, size int, alone boolean"
-
-
 def player_blocks(records: DataFrame, effective: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Each player's block of lines in parts of at most limit units; records have pos, effective has player and effective."""
-    value = effective.select(F.col("player").alias("label"), texts.two_places("effective").alias("value"))
-    rows = records.withColumn("label", texts.trimmed(F.col("player"))).join(value, "label", "left")
-    rows = rows.select("player", "pos", F.coalesce("value", F.lit("0.00")).alias("value"), F.concat(F.lit("`"), times.shown(F.col("timestamp")), F.lit("` "), "item").alias("line"))
-
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        player = frame["player"].iloc[0]
-        parts = fitted(f"### {player} ({frame['value'].iloc[0]})", frame["line"].tolist(), limit)
-        return pd.DataFrame({"player": player, "part": range(len(parts)), "text": parts, "size": [units(p) for p in parts], "alone": len(parts) > 1})
+    """Each player's block of lines in parts of at most limit units, a heading and a line at least; records have pos, effective has player and effective.
 
-    return rows.groupBy("player").applyInPandas(block, BLOCK)
+    Runs of a player's lines are packed apart from each other (packing), so a player may have any number of them.
+    Null players, times and items count as empty text.
+    """
+    value = effective.select(F.col("player").alias("label"), texts.two_places("effective").alias("value"))
+    rows = records.withColumn("player", F.coalesce("player", F.lit(""))).withColumn("label", texts.trimmed(F.col("player"))).join(value, "label", "left")
+    heading = F.concat(F.lit("### "), "player", F.lit(" ("), F.coalesce("value", F.lit("0.00")), F.lit(")"))
+    line = F.concat(F.lit("`"), F.coalesce(times.shown(F.col("timestamp")), F.lit("")), F.lit("` "), F.coalesce("item", F.lit("")))
+    rows = rows.select("player", heading.alias("heading"), line.alias("line"), F.col("pos").cast("long").alias("place"), F.floor(F.col("pos") / packing.RUN).alias("run"))
+    start, size = texts.units(F.col("heading")), texts.units(F.col("line"))
+    states = [size.alias("size"), F.least(start + 1 + size, F.lit(limit)).alias("fresh"), F.least(start, F.lit(limit)).alias("start")]
+    parts = packing.packed(packing.pinned(rows.select("*", *states)), ["player"], limit).groupBy("player", F.col("number").alias("part"))
+    parts = parts.agg(F.first("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    shown = parts.select("player", "part", F.concat_ws("\n", "heading", F.transform("lines", lambda x: x["line"])).alias("text"))
+    # a first line too long to stand below its heading leaves the heading alone in part 0
+    lone = parts.where("part = 1").select("player", "heading").join(parts.where("part = 0").select("player"), "player", "left_anti")
+    shown = shown.unionByName(lone.select("player", F.lit(0).cast("long").alias("part"), F.col("heading").alias("text")))
+    last = parts.groupBy("player").agg((F.max("part") > 0).alias("alone"))
+    return packing.pinned(shown.join(last, "player").select("player", "part", "text", texts.units(F.col("text")).alias("size"), "alone"))
 
 
 def messages(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """message (number), text: blocks by player, as many in a message as fit; parts of a divided block stand alone.
 
-    The fold over blocks sees only their sizes; texts are joined to their message afterwards.
+    Only sizes are put in order and packed, in runs (packing); texts are joined to their message afterwards.
     """
-    sizes = blocks.select("player", "part", "size", "alone").repartition(1).sortWithinPartitions(*texts.alphabetical(F.col("player")), "part")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, used = -1, None
-        for frame in frames:
-            at = []
-            for size, alone in zip(frame["size"], frame["alone"]):
-                if alone or used is None or used + 1 + size > limit:
-                    number, used = number + 1, None if alone else size
-                else:
-                    used += 1 + size
-                at.append(number)
-            yield frame[["player", "part"]].assign(message=at, place=range(len(at)))
-
-    placed = sizes.mapInPandas(fold, "player string, part int, message int, place int")
+    full = F.lit(limit)
+    sized = blocks.select("player", "part", F.when(F.col("alone"), full + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("alone"), full).otherwise(F.least("size", full)).alias("fresh"), full.alias("start"), F.lit(0).alias("all"))
+    runs = packing.in_runs(sized, [*texts.alphabetical(F.col("player")), F.col("part")])
+    placed = packing.packed(runs, ["all"], limit).select("player", "part", (F.col("number") - 1).alias("message"), "place")
     both = blocks.join(placed, ["player", "part"])
     return both.groupBy("message").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])).alias("text"))
 
 
 def item_table(totals: list[tuple[str, int]]) -> str:
+    units = lambda text: len(text.encode("utf-16-le")) // 2
     name, count = max(units(i) for i, _ in totals), max(len(str(n)) for _, n in totals)
     return "\n".join(f"{i}{' ' * (name - units(i))}  {n:>{count}}" for i, n in totals)

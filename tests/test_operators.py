@@ -1,10 +1,11 @@
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweft.functions import texts, times
-from logweft.operators import assets, export, glyphs, stages, timeline
+from logweft.operators import assets, export, glyphs, packing, stages, timeline
 from logweft.streaming.incremental import follow
 
 ITEMS = "name string, duration int, watt int"
@@ -94,3 +95,42 @@ def test_stream_adds_once(spark, tmp_path):
         follow(spark, str(tmp_path / "in"), "id string, n int", str(tmp_path / "out"), str(tmp_path / "at"), ["id"]).awaitTermination()
         (tmp_path / "in" / "b.json").write_text('{"id":"b","n":2}\n{"id":"c","n":2}\n')
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def one_pass(blocks, limit):
+    """Messages as a single pass over ordered blocks (heading, lines) makes them."""
+    out, current = [], None
+    for heading, lines in blocks:
+        whole = "\n".join([heading, *lines])
+        if len(whole.encode("utf-16-le")) // 2 <= limit:
+            if current is not None and len(f"{current}\n{whole}".encode("utf-16-le")) // 2 <= limit:
+                current = f"{current}\n{whole}"
+            else:
+                out += [current] * (current is not None)
+                current = whole
+            continue
+        out += [current] * (current is not None)
+        current, part = None, heading
+        for line in lines:
+            if len(f"{part}\n{line}".encode("utf-16-le")) // 2 > limit:
+                out.append(part)
+                part = heading
+            part = f"{part}\n{line}"
+        out.append(part)
+    return out + [current] * (current is not None)
+
+
+@pytest.mark.parametrize(("run", "limit"), [(3, 20), (3, 200), (4096, 60)])
+def test_messages_equal_one_pass(spark, monkeypatch, run, limit):
+    """Runs of three items, two to a longer run: many levels, and the same messages."""
+    monkeypatch.setattr(packing, "RUN", run)
+    monkeypatch.setattr(packing, "FAN", 2)
+    chance = random.Random(limit)
+    rows = [(p, k, f"[00:00:{k % 60:02d}]", chance.choice(["a", "big one", "😀 item", "x" * 70]))
+            for p, n in [("ann", 40), ("Bob", 1), ("bob", 2), ("cy", 1), ("dee", 3), *[(f"e{k}", 1) for k in range(12)]] for k in range(n)]
+    records = spark.createDataFrame(rows, "player string, pos long, timestamp string, item string")
+    values = spark.createDataFrame([("ann", 1.5), ("cy", 2.005)], "player string, effective double")
+    got = [r.text for r in export.messages(export.player_blocks(records, values, limit), limit).orderBy("message").collect()]
+    shown = {"ann": "1.50", "cy": "2.00"}
+    order = ["ann", "bob", "Bob", "cy", "dee", *sorted(f"e{k}" for k in range(12))]
+    assert got == one_pass([(f"### {p} ({shown.get(p, '0.00')})", [f"`{t[1:-1]}` {i}" for q, _, t, i in rows if q == p]) for p in order], limit)
