@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweft.functions import texts, times
-from logweft.operators import packing
+from logweft.operators import counts, packing, timeline
 
 LIMIT = 2000
 HEADER = "time,player,item,source,line from bottom"
@@ -78,7 +78,90 @@ def messages(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return both.groupBy("message").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])).alias("text"))
 
 
-def item_table(totals: list[tuple[str, int]]) -> str:
-    units = lambda text: len(text.encode("utf-16-le")) // 2
-    name, count = max(units(i) for i, _ in totals), max(len(str(n)) for _, n in totals)
-    return "\n".join(f"{i}{' ' * (name - units(i))}  {n:>{count}}" for i, n in totals)
+def padded(text: Column, width: Column) -> Column:
+    """Filled up on the right with spaces, in UTF-16 units."""
+    return F.concat(text, F.repeat(F.lit(" "), (width - texts.units(text)).cast("int")))
+
+
+def indented(text: Column, width: Column) -> Column:
+    """Filled up on the left with spaces, in UTF-16 units."""
+    return F.concat(F.repeat(F.lit(" "), (width - texts.units(text)).cast("int")), text)
+
+
+def with_widths(rows: DataFrame, **least: int) -> DataFrame:
+    """rows with <column>_width, the most units of each named column and its least width, from one row of aggregates."""
+    widths = rows.agg(*[F.greatest(F.max(texts.units(F.col(c))), F.lit(n)).alias(f"{c}_width") for c, n in least.items()])
+    return rows.crossJoin(F.broadcast(widths))
+
+
+def item_lines(records: DataFrame) -> DataFrame:
+    """name (the item) and line: its records, of which the first of equal time, player and item counts."""
+    totals = counts.first_rows(records, ["timestamp", "player", "item"]).groupBy(F.col("item").alias("name")).agg(F.count("*").cast("string").alias("n"))
+    return with_widths(totals, name=0, n=0).select("name", F.concat(padded(F.col("name"), F.col("name_width")), F.lit("  "), indented(F.col("n"), F.col("n_width"))).alias("line"))
+
+
+#: Headings of the table of players.
+PLAYER_COLUMNS = {"name": "Player", "uses": "Uses", "shown": "Apples"}
+
+
+def player_lines(records: DataFrame, players: DataFrame, items: DataFrame) -> DataFrame:
+    """place (0: heading, 1: rule, 2: players), effective, logs, name and line; players are timeline.by_player() ones."""
+    uses = counts.uses_split(records.withColumn("player", texts.label(F.col("player"))), items)
+    rows = players.join(uses, "player").select(F.col("player").alias("name"), "uses", F.concat(F.lit("("), texts.two_places("effective"), F.lit(")")).alias("shown"), "effective", "logs")
+    rows = with_widths(rows, **{c: len(title) for c, title in PLAYER_COLUMNS.items()})
+    width = {c: F.col(f"{c}_width") for c in PLAYER_COLUMNS}
+    joined = lambda name, uses, shown: F.concat_ws("  ", padded(name, width["name"]), padded(uses, width["uses"]), indented(shown, width["shown"])).alias("line")
+    top = rows.select(*width.values()).limit(1)
+    nothing = [F.lit(0.0).alias("effective"), F.lit(0).cast("long").alias("logs"), F.lit("").alias("name")]
+    rule = F.concat_ws("  ", *[F.repeat(F.lit("─"), w.cast("int")) for w in width.values()]).alias("line")
+    heads = top.select(F.lit(0).alias("place"), *nothing, joined(*[F.lit(t) for t in PLAYER_COLUMNS.values()])).unionByName(top.select(F.lit(1).alias("place"), *nothing, rule))
+    return rows.select(F.lit(2).alias("place"), "effective", "logs", "name", joined(F.col("name"), F.col("uses"), F.col("shown"))).unionByName(heads)
+
+
+#: Lines of a report and of a summary message, by section; {0} is the count of players, {1} that of records, {2} and {3} are the mode's names.
+PLAIN = {0: "Log Summary", 1: "{0} · {1} items used", 2: "", 3: "Items used", 5: "", 6: "Effective Apples ({2})"}
+CHAT = {0: "# Log Summary", 1: "-# {0} · {1} items used", 2: "### Items used", 3: "```text", 5: "```", 6: "### Effective Apples", 7: "-# {3}; overlaps removed", 8: "```text", 10: "```"}
+NOTHING = "No buff logs found."
+MODES = {"cutoff": ("Cutoff", "100+ attack only"), "scaled": ("Scaled", "Scaled by attack")}
+
+
+def report(records: DataFrame, segs: DataFrame, items: DataFrame, mode: str, chat: bool = False) -> DataFrame:
+    """section, place, effective, logs, name and line of a plain report, or of the summary in front of chat messages; in_order() sorts it.
+
+    Sections 4 and 9 are tables, 11 (plain only) has each player's block: an empty line, the player with the effect, and the
+    records by pos. Players are grouped as they stand, effects by trimmed name. Without records there is one line, NOTHING.
+    """
+    players = timeline.by_player(segs)
+    n = records.agg(F.count_distinct("player").alias("players"), F.count_distinct("timestamp", "player", "item").alias("n"))
+    fills = [texts.plural(F.col("players"), "player", "players"), F.col("n").cast("string"), *map(F.lit, MODES[mode])]
+
+    def filled(line: str) -> Column:
+        out = F.lit(line)
+        for k, value in enumerate(fills):
+            out = F.replace(out, F.lit(f"{{{k}}}"), value) if f"{{{k}}}" in line else out
+        return out
+
+    fixed = F.array(*[F.struct(F.lit(k).alias("section"), filled(line).alias("line")) for k, line in (CHAT if chat else PLAIN).items()])
+    none = F.array(F.struct(F.lit(0).alias("section"), F.lit(NOTHING).alias("line")))
+    put = lambda df, section, **known: df.select(
+        section.alias("section"), *[known.get(c, F.lit(0).cast(kind) if kind != "string" else F.lit("")).alias(c) for c, kind in [("place", "long"), ("effective", "double"), ("logs", "long"), ("name", "string")]], "line"
+    )
+    col = F.col
+    out = put(n.select(F.inline(F.when(col("n") == 0, none).otherwise(fixed))), col("section"))
+    out = out.unionByName(put(item_lines(records), F.lit(4), name=col("name")))
+    out = out.unionByName(put(player_lines(records, players, items), F.lit(9), place=col("place").cast("long"), effective=col("effective"), logs=col("logs"), name=col("name")))
+    if chat:
+        return out
+    value = players.select(F.col("player").alias("label"), texts.two_places("effective").alias("value"))
+    heads = records.select("player").distinct().withColumn("label", texts.trimmed(F.col("player"))).join(value, "label", "left")
+    heads = heads.select(col("player").alias("name"), F.inline(F.array(
+        F.struct(F.lit(-2).cast("long").alias("place"), F.lit("").alias("line")), F.struct(F.lit(-1).cast("long").alias("place"), F.concat("player", F.lit(" ("), F.coalesce("value", F.lit("0.00")), F.lit(")")).alias("line")),
+    )))
+    lines = records.select(col("player").alias("name"), col("pos").cast("long").alias("place"), F.concat_ws(" ", times.shown(col("timestamp")), "item").alias("line"))
+    return out.unionByName(put(heads.unionByName(lines), F.lit(11), place=col("place"), name=col("name")))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines of a report as they are written: the table of players by effect, the rest by name and place."""
+    by_effect = F.when(F.col("section") == 9, F.col("place"))
+    return lines.orderBy("section", by_effect, F.desc("effective"), F.desc("logs"), *texts.alphabetical(F.col("name")), "place")

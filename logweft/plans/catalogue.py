@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweft.functions import pixels, texts, times
@@ -451,6 +451,41 @@ def frame_detect(spark, sf_dir):
     return glyphs.frames(table(spark, sf_dir, "pages").select("page_id").mapInPandas(drawn, "image_id bigint, rows int, cols int, data binary"))
 
 
+def report_sql(mode: str, chat: bool) -> str:
+    fixed = export.CHAT if chat else export.PLAIN
+    fill = lambda line: "replace(replace('" + line.format("@p", "@n", *export.MODES[mode]) + "', '@p', p || ' players'), '@n', n::varchar)"
+    heads = " union all ".join(f"select {k} as section, {fill(line)} as line from tally" for k, line in fixed.items())
+    out = f"""{segments_sql(mode)}, tally as (select count(distinct player) as p, count(distinct (timestamp, player, item)) as n from rec), heads as ({heads}),
+ itot as (select item as name, count(*)::varchar as n from (select distinct timestamp, player, item from rec) group by 1),
+  il as (select name, rpad(name, (max(length(name)) over ())::int, ' ') || '  ' || lpad(n, (max(length(n)) over ())::int, ' ') as line from itot),
+ ptot as (select player as name, coalesce(sum(active_s * weight) / 600, 0)::double as effective, count(*) as logs, count(*) filter (watt >= 100) as high from s left join dim using (item) group by 1),
+ pval as (select name, effective, logs, round(effective::decimal(38, 20), 2)::decimal(20, 2)::varchar as value, high || case when high < logs then '+' || (logs - high) else '' end as uses from ptot),
+ pwid as (select greatest(6, max(length(name)))::int as a, greatest(4, max(length(uses)))::int as b, greatest(6, max(length(value) + 2))::int as c from pval)
+  select section, 0::bigint as place, 0.0::double as effective, 0::bigint as logs, '' as name, line from heads
+  union all select 4, 0, 0, 0, name, line from il
+  union all select 9, 2, effective, logs, name, rpad(name, a, ' ') || '  ' || rpad(uses, b, ' ') || '  ' || lpad('(' || value || ')', c, ' ') from pval, pwid
+  union all select 9, 0, 0, 0, '', rpad('Player', a, ' ') || '  ' || rpad('Uses', b, ' ') || '  ' || lpad('Apples', c, ' ') from pwid
+  union all select 9, 1, 0, 0, '', repeat('─', a) || '  ' || repeat('─', b) || '  ' || repeat('─', c) from pwid"""
+    return out if chat else out + f"""
+  union all select 11, -2, 0, 0, name, '' from pval union all select 11, -1, 0, 0, name, name || ' (' || value || ')' from pval
+  union all select 11, row_number() over (partition by player order by ord) - 1, 0, 0, player, substr(timestamp, 2, 8) || ' ' || item from rec"""
+
+
+def in_given_order(spark, sf_dir) -> DataFrame:
+    """Records with their place among those of their player, in the order they came in."""
+    return records(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("player").orderBy("ord")) - 1)
+
+
+@query(report_sql("cutoff", False))
+def plain_report(spark, sf_dir):
+    return export.report(in_given_order(spark, sf_dir), segs(spark, sf_dir), item_dimension(spark), timeline.CUTOFF)
+
+
+@query(report_sql("scaled", True))
+def chat_summary(spark, sf_dir):
+    return export.report(records(spark, sf_dir), segs(spark, sf_dir, timeline.SCALED), item_dimension(spark), timeline.SCALED, chat=True)
+
+
 @query()
 def anchor_candidates(spark, sf_dir):
     font = glyphs.font(spark, CHARS)
