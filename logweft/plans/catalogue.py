@@ -459,7 +459,7 @@ def report_sql(mode: str, chat: bool) -> str:
  itot as (select item as name, count(*)::varchar as n from (select distinct timestamp, player, item from rec) group by 1),
   il as (select name, rpad(name, (max(length(name)) over ())::int, ' ') || '  ' || lpad(n, (max(length(n)) over ())::int, ' ') as line from itot),
  ptot as (select player as name, coalesce(sum(active_s * weight) / 600, 0)::double as effective, count(*) as logs, count(*) filter (watt >= 100) as high from s left join dim using (item) group by 1),
- pval as (select name, effective, logs, round(effective::decimal(38, 20), 2)::decimal(20, 2)::varchar as value, high || case when high < logs then '+' || (logs - high) else '' end as uses from ptot),
+ pval as (select name, effective, logs, printf('%.2f', case when effective * 8 = floor(effective * 8) then effective + 0.001 else effective end) as value, high || case when high < logs then '+' || (logs - high) else '' end as uses from ptot),
  pwid as (select greatest(6, max(length(name)))::int as a, greatest(4, max(length(uses)))::int as b, greatest(6, max(length(value) + 2))::int as c from pval)
   select section, 0::bigint as place, 0.0::double as effective, 0::bigint as logs, '' as name, line from heads
   union all select 4, 0, 0, 0, name, line from il
