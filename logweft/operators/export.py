@@ -42,6 +42,18 @@ def file_name(at: Column, kind: str, prefix: str = "log", message: int | None =
     return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(f"{suffix}.{ending}"))
 
 
+def fitted(heading: str, lines: list[str], limit: int = LIMIT) -> list[str]:
+    """heading and lines, few enough to hold, in as many messages as it takes, each with the heading; player_blocks() does so for columns."""
+    size = lambda text: len(text.encode("utf-16-le")) // 2
+    out = [heading]
+    for line in lines:
+        if size(out[-1]) + 1 + size(line) <= limit:
+            out[-1] += "\n" + line
+        else:
+            out.append(f"{heading}\n{line}")
+    return out
+
+
 def player_blocks(records: DataFrame, effective: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Each player's block of lines in parts of at most limit units, a heading and a line at least; records have pos, effective has player and effective.
 
