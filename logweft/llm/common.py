@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -27,21 +28,37 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df read back from a reliable checkpoint, so that lost executors cost no recomputation of what led to it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir (a folder of this session's own in it).
 
-    The folder is the cluster's spark.checkpoint.dir. Only a session in one process (a test) that names none gets one of its
+    Only a session in one process (a test) that names none gets one of its
     own; on a cluster executors would not see each other's files there, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df read back from a reliable checkpoint, so that lost executors cost no recomputation of what led to it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """df written to the checkpoint folder in sorted buckets of key, and read back; buckets of as many parts are joined without a shuffle."""
+    spark, name = df.sparkSession, f"run_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).sortBy(key).option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved, so that the name is not needed any more; the files stay
+    spark.sql(f"drop table {name}")
+    return table
+
+
 def split_by_crc(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts

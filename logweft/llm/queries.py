@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import ann, media, mixing, piece_bpe, pii, quality, secrets, sharding, simhash, toxicity
+from logweft.llm import ann, codes, linededup, media, mixing, phrases, piece_bpe, pii, quality, secrets, sharding, simhash, toxicity
 from logweft.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,8 +79,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_skip_chain, op2_ann_ivfpq, op3_mix_sources, op4_piece_bpe, op5_hypergeometric_shards, op6_simhash_components,
-        op7_secret_links, op8_media_sequences, op9_quality_crf, op10_toxic_segments, pipeline,
+        op7_secret_links, op8_media_sequences, op9_quality_crf, op10_toxic_segments, op11_phrase_automata, op12_line_runs, op13_yinyang_codes, pipeline,
     )
 }
 
-ORACLE_SQL = {"op3_mix_sources": mixing.oracle_sql(), "op7_secret_links": secrets.oracle_sql()}
+ORACLE_SQL = {
+    "op3_mix_sources": mixing.oracle_sql(), "op7_secret_links": secrets.oracle_sql(), "op11_phrase_automata": phrases.oracle_sql(),
+    "op12_line_runs": linededup.oracle_sql(), "op13_yinyang_codes": codes.oracle_sql(),
+}
