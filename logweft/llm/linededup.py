@@ -1,7 +1,7 @@
 """Lines that recur across documents, found by levelled sorted runs of line hashes.
 
 A run is a table of (line hash, documents that hold it), each hash once, written to the checkpoint folder in sorted buckets of the
-hash, so that runs are merged without another shuffle. Documents come in batches. A batch's hashes are counted, anti-joined by merge
+hash, so that runs are merged without another shuffle. Documents come in batches (of one table: by a hash of doc_id, all counted in one scan). A batch's hashes are anti-joined by merge
 with the runs of settled lines (those already known to recur: nothing about them needs to be counted any more), and what is left becomes a
 run of level 0. FAN runs of a level are compacted into one of the next: their counts are added, and hashes that reach the threshold move to
 a settled run. A last compaction of all levels settles the rest, so the result does not depend on batches or on their order.
@@ -11,7 +11,7 @@ taken for one with a chance of about n * n / 2**129 among n keys. Documents are
 counts once. A row is known by 128 bits of hash of its doc_id and text, so repeated rows have equal results. Null texts are one empty
 line. Empty keys (shorter than `shortest`) always stay. An empty table gives an empty result; other columns are not read.
 
-All of it is DataFrame operations: no Python runs in tasks. Only counts and bounds of batches reach the driver.
+All of it is DataFrame operations: no Python runs in tasks, and no rows reach the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents that a recurring line is found in, and code points of its key, at least.
 LEAST, SHORTEST = 10, 1
-#: Batches that a table is read in, and runs of a level that are compacted into one.
+#: Batches that a table is dealt to, and runs of a level that are compacted into one.
 BATCHES, FAN = 6, 3
 #: Parts that the documents of one hash are dealt to where lines meet the recurring ones.
 SALTS = 16
@@ -61,9 +61,11 @@ class Runs:
         self.settled: list[DataFrame] = []
 
     def add(self, documents: DataFrame) -> None:
-        """Counts the lines of a batch, leaves out what is settled, and adds the rest as a run."""
-        of = documents.select(F.explode(F.array_distinct(line_hashes(F.col("text"), self.shortest))).alias("line")).where("line is not null")
-        counts = of.groupBy(F.unhex("line").alias("line")).agg(F.count("*").alias("n")).repartition(self.parts, "line")
+        """Counts the lines of one batch of documents, and adds them."""
+        self.add_counts(counted(documents.select("text", F.lit(0).alias("batch")), self.shortest).drop("batch").repartition(self.parts, "line"))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """Leaves out of a batch's (line, n) what is settled, and adds the rest as a run."""
         for settled in self.settled:
             counts = counts.join(settled.hint("merge"), "line", "left_anti")
         self.put(bucketed(counts, self.parts, "line"), 0)
@@ -97,24 +99,20 @@ class Runs:
         return None if found is None else found.distinct()
 
 
-def batches(documents: DataFrame, most: int) -> list[Column]:
-    """Conditions on doc_id that split documents into about equal parts; a table in order of doc_id is read once by all of them."""
-    marks = [k / most for k in range(1, most)]
-    ids = F.col("doc_id").cast("long")
-    bounds = sorted(set(documents.select(F.percentile_approx(ids, marks, 1000)).first()[0] or []))
-    if not bounds:
-        return [F.lit(True)]
-    first = F.col("doc_id").isNull() | (F.col("doc_id") < bounds[0])
-    middle = [(F.col("doc_id") >= a) & (F.col("doc_id") < b) for a, b in zip(bounds, bounds[1:])]
-    return [first, *middle, F.col("doc_id") >= bounds[-1]]
+def counted(documents: DataFrame, shortest: int) -> DataFrame:
+    """(line, batch, n): how many documents (text, batch) of each batch hold each line."""
+    of = documents.select("batch", F.explode(F.array_distinct(line_hashes(F.col("text"), shortest))).alias("line")).where("line is not null")
+    return of.groupBy(F.unhex("line").alias("line"), "batch").agg(F.count("*").alias("n"))
 
 
 def deduplicated(documents: DataFrame, least: int = LEAST, shortest: int = SHORTEST, most: int = BATCHES, fan: int = FAN) -> DataFrame:
     """doc_id, kept (the text without recurring lines), n_lines (before) and n_dropped of every row."""
     docs = documents.select("doc_id", "text")
     runs = Runs(documents.sparkSession, least, shortest, fan)
-    for batch in batches(docs, most):
-        runs.add(docs.where(batch))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(most)).cast("int").alias("batch")
+    counts = bucketed(counted(docs.select("text", batch), shortest).repartition(runs.parts, "line"), runs.parts, "line")
+    for k in range(most):
+        runs.add_counts(counts.where(F.col("batch") == k).drop("batch"))
     common = runs.recurring().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     known = [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("row_b")]
