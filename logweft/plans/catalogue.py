@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweft.functions import pixels, texts, times
-from logweft.operators import assets, counts, export, glyphs, review, stages, timeline
+from logweft.operators import assets, counts, export, glyphs, pictures, reading, review, stages, timeline
 from logweft.sources.records import ITEMS, item_dimension, records, table
 
 QUERIES, SQL = {}, {}
@@ -352,7 +352,7 @@ def stage_fingerprint(spark, sf_dir):
     return stages.fingerprint(records(spark, sf_dir), ["id", "item", "player"])
 
 
-CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 :[]"
+CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 :[]"  # in the order of glyphs that rank alike
 WIDTHS = sorted({len(glyphs.glyph(c)) for c in CHARS})
 
 
@@ -362,8 +362,68 @@ def text_lines(spark, sf_dir) -> DataFrame:
 
 @query("select event_id as ord, '[' || strftime(ts, '%H:%M:%S') || ']user' || user_id || ' used ' || event_type as text from events")
 def ocr_roundtrip(spark, sf_dir):
-    font = glyphs.font(spark, CHARS)
-    return glyphs.decoded(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", font), "ord", font, WIDTHS)
+    return reading.plain(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", CHARS), "ord", CHARS)
+
+
+def font_sql(charset: str, profiles: tuple[str, ...]) -> str:
+    """The fonts as rows of SQL: profile, ch, width and columns, joined by commas."""
+    made = [(p, glyphs.template(c, p)) for p in profiles for c in charset]
+    return "font(profile, ch, width, columns) as (values " + ", ".join(f"('{p}', '{t.ch}', {t.width}, '{','.join(map(str, t.columns))}')" for p, t in made) + ")"
+
+
+#: A picture shows 39 events, one a line; every tenth line or so is spoilt, and some pictures are.
+SHOWN = """case event_id % 11 when 3 then '[24:02:03]user' || user_id || ' used ' || event_type when 5 then clock || 'user' || user_id || ' misused ' || event_type when 6 then clock || ' used ' || event_type
+  when 7 then clock || 'user' || user_id || ' used ' when 9 then substr(clock, 2) || 'user' || user_id || ' used ' || event_type else clock || 'user' || user_id || ' used ' || event_type end"""
+SHOTS = f"""shown as (select event_id, event_id // 39 as shot, (event_id % 39 + 1)::int as index, 'shot_' || (event_id // 39) || '.png' as path, user_id, event_type, case event_id // 39 % 2 when 0 then 'rgb' else 'bgr' end as profile,
+    {SHOWN} as text, '[' || strftime(ts, '%H:%M:%S') || ']' as clock from (select *, '[' || strftime(ts, '%H:%M:%S') || ']' as clock from events)),
+  shots as (select distinct shot, path, case shot % 20 when 7 then 'decode_error' when 11 then 'not_png' when 13 then 'no_frame' end as reason from shown)"""
+
+
+def shots(spark, sf_dir) -> DataFrame:
+    """Pictures of events as files; of each twenty one is cut off, one is no picture, one shows no frame."""
+    shot, clock = F.floor(F.col("event_id") / 39), F.date_format("ts", "'['HH:mm:ss']'")
+    lines = table(spark, sf_dir, "events").withColumn("clock", clock).select(shot.alias("shot"), F.struct((F.col("event_id") % 39 + 1).cast("int").alias("index"), F.expr(SHOWN).alias("text")).alias("line"))
+    each = lines.groupBy("shot").agg(F.collect_list("line").alias("shown"))
+    drawn = pictures.drawn(each.select(F.concat(F.lit("shot_"), "shot", F.lit(".png")).alias("path"), F.when(F.col("shot") % 2 == 0, "rgb").otherwise("bgr").alias("profile"), "shown"))
+    number = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20
+    return drawn.withColumn("content", F.when(number == 7, F.expr("substring(content, 1, 5000)")).when(number == 11, F.encode(F.lit("no picture"), "UTF-8")).otherwise(F.col("content"))).where(number != 13).unionByName(
+        pictures.unframed(drawn.where(number == 13)))
+
+
+PICTURE_CHARS = glyphs.DIGITS + reading.LETTERS[:26] + "[]: "
+INK = f"""ink as (select path, index, reason, [0, 0, 0] || flatten(list([x::int for x in string_split(columns, ',')] order by k)) as c from (select s.path, s.index, shots.reason, s.profile, unnest(string_split(s.text, '')) as ch, generate_subscripts(string_split(s.text, ''), 1) as k
+    from shown s join shots using (path)) join font using (profile, ch) where reason is null group by 1, 2, 3)"""
+
+
+@query(f"""with {SHOTS}, {font_sql(PICTURE_CHARS, glyphs.PROFILES)}, {INK}
+  select path, index, (list_position([x > 0 for x in c], true) - 1)::int as first, (len(c) - list_position(list_reverse([x > 0 for x in c]), true))::int as last,
+    md5(array_to_string(c || [0 for x in range(384 - len(c))], ',')) as columns_md5, null as reason from ink
+  union all select path, t.k::int, null, null, md5(repeat('0,', 383) || '0'), null from shots, range(1, 40) t(k) where reason is null and not exists (select 1 from shown s where s.path = shots.path and s.index = t.k)
+  union all select path, null, null, null, null, reason from shots where reason is not null""")
+def png_columns(spark, sf_dir):
+    """Every line of every picture as columns, from its file."""
+    found = pictures.lines(shots(spark, sf_dir))
+    return found.select("path", "index", "first", "last", F.md5(F.concat_ws(",", F.transform("columns", lambda c: c.cast("string")))).alias("columns_md5"), "reason").withColumn(
+        "columns_md5", F.when(F.col("reason").isNull(), F.col("columns_md5")))
+
+
+@query(f"with {SHOTS} select path, case when reason in ('not_png', 'decode_error') then 0 else 800 end as width, case when reason in ('not_png', 'decode_error') then 0 else 600 end as height, reason is null as ok, case when reason is null then 0 end as left, case when reason is null then 0 end as top, reason from shots")
+def picture_analysis(spark, sf_dir):
+    return pictures.analysed(shots(spark, sf_dir))
+
+
+ITEM_NAMES = tuple(n for n, _, _ in ITEMS)
+
+
+@query(f"""with {SHOTS}, l as (select *, case event_id % 11 when 3 then 'bad_time' when 5 then 'not_a_use' when 6 then 'bad_player' when 7 then 'bad_item' end as why from shown join shots using (path) where reason is null and event_id % 11 <> 9)
+  select path || '-' || index as slice_id, 'balanced' as mode, case when why is null then 'accepted' else 'rejected' end as status, why as rejection_reason,
+    case when why = 'not_a_use' then clock || 'user' || user_id else text end as text, case when why is null then 'record_' || path || '-' || index end as id, case when why is null then clock end as timestamp,
+    case when why is null then 'user' || user_id end as player, case when why is null then event_type end as item from l""")
+def ocr_lines(spark, sf_dir):
+    """From files to records: lines with both brackets are read, with what is wrong with each of the others."""
+    found = pictures.bracketed(pictures.lines(shots(spark, sf_dir)))
+    read = reading.decoded(found.select("path", "index", "pixels", "columns", "profile"), ITEM_NAMES)
+    return reading.judged(read, F.concat_ws("-", "path", F.col("index").cast("string"))).drop("score")
 
 
 @query(f"""with {REC} select id, player, timestamp, row_number() over (partition by player order by timestamp, id)::int as nth from rec where player in ('user7', 'user8')""")
@@ -432,16 +492,21 @@ def label_scalars(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", texts.compact(F.col("event_id") / 4).alias("compact"), texts.same_glyphs(F.concat("event_type", F.lit("''"))).alias("alike"))
 
 
-@query("""select page_id as image_id, (page_id % 9)::int as left, (page_id % 5)::int as top, 800 as width, 600 as height, (page_id % 9 + (8 - page_id % 5) + page_id % 5 + (12 - page_id % 9))::int as adjustment from pages""")
+@query("""select page_id as image_id, (page_id % 13 - 4)::int as left, (8 - (page_id % 12 - 4))::int as top, 800 as width, 600 as height,
+  (abs(page_id % 13 - 4) + abs(page_id % 12 - 4) + abs(8 - (page_id % 12 - 4)) + abs(12 - (page_id % 13 - 4)))::int as adjustment from pages where page_id % 10 <> 9""")
 def frame_detect(spark, sf_dir):
+    """Frames with margins of -4 to 8; every tenth picture shows none."""
+
     def drawn(frames):
         mark = glyphs.patch()
         for f in frames:
             made = []
-            for i in f["page_id"]:
-                left, top = int(i) % 9, int(i) % 5
+            for i in map(int, f["page_id"]):
+                left, bottom = i % 13 - 4, i % 12 - 4
                 shot = np.zeros((608, 812, 3), dtype=np.uint8)
-                shot[top + 600 - glyphs.PATCH[0] : top + 600, left : left + glyphs.PATCH[1]] = mark
+                if i % 10 != 9:
+                    y, x = 608 - bottom - glyphs.INSET[1], left + glyphs.INSET[0]
+                    shot[y : y + glyphs.PATCH[0], x : x + glyphs.PATCH[1]] = mark
                 made.append((i, 608, 812, shot.tobytes()))
                 if len(made) == 16:
                     yield pd.DataFrame(made, columns=["image_id", "rows", "cols", "data"])
@@ -486,10 +551,12 @@ def chat_summary(spark, sf_dir):
     return export.report(records(spark, sf_dir), segs(spark, sf_dir, timeline.SCALED), item_dimension(spark), timeline.SCALED, chat=True)
 
 
-@query()
+@query(f"""with {font_sql(CHARS, ("",))}, t as (select event_id as ord, '[' || strftime(ts, '%H:%M:%S') || ']user' || user_id || ' used ' || event_type as text from events),
+  c as (select ord, flatten(list(string_split(columns, ',') order by k)) as c from (select ord, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as k from t) join font using (ch) group by 1),
+  s as (select ord, x, w, array_to_string(c[x:x + w - 1], ',') as columns from (select ord, c, unnest(range(1, len(c) + 1)) as x from c), (select distinct width as w from font) where x + w - 1 <= len(c))
+  select ord, x::int as x, ch, width, (instr('{CHARS}', ch) - 1)::int as rank from s join font using (columns) where width = w""")
 def anchor_candidates(spark, sf_dir):
-    font = glyphs.font(spark, CHARS)
-    return glyphs.candidates(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", font), "ord", font, WIDTHS)
+    return glyphs.candidates(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", CHARS), "ord", glyphs.font(spark, CHARS), WIDTHS)
 
 
 @query()

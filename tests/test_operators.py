@@ -76,7 +76,7 @@ def test_frame(spark):
     import numpy as np
 
     pixels = np.zeros((608, 812, 3), dtype=np.uint8)
-    pixels[605 - 6 : 605, 7 : 7 + 8] = glyphs.patch()
+    pixels[605 - 16 : 605 - 10, 15 : 15 + 8] = glyphs.patch()
     images = spark.createDataFrame([(1, 608, 812, bytearray(pixels.tobytes())), (2, 608, 812, bytearray(608 * 812 * 3))], "image_id long, rows int, cols int, data binary")
     assert [tuple(r) for r in glyphs.frames(images).collect()] == [(1, 7, 5, 800, 600, 20)]
 
