@@ -15,16 +15,10 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return hue, F.when(most == 0, F.lit(0.0)).otherwise(span / most), most / 255
 
 
-def hue_distance(a: Column, b: Column) -> Column:
-    """Of hues from 0 to 1, around the circle."""
-    d = F.abs(a - b)
-    return F.least(d, 1 - d)
-
-
 def packed_bits(rows: Column) -> Column:
     """An array of booleans, the first of them as bit 0, as a number."""
-    bits = F.transform(rows, lambda on, k: F.when(on, F.pow(F.lit(2.0), k)).otherwise(0.0))
-    return F.aggregate(bits, F.lit(0.0), lambda a, x: a + x).cast("int")
+    bits = F.transform(rows, lambda on, k: F.when(on, F.call_function("shiftleft", F.lit(1), k)).otherwise(0))
+    return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseOR(x))
 
 
 def upper_median(values: Column) -> Column:

@@ -24,10 +24,9 @@ def seconds_of_day(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """'[HH:MM:SS]' from a text that is just a time, brackets optional; '' otherwise."""
-    pattern = r"^\[?(\d{1,2}):(\d{1,2}):(\d{1,2})\]?\z"
-    parts = [F.lpad(F.regexp_extract(text, pattern, k), 2, "0") for k in (1, 2, 3)]
-    return F.when(text.rlike(pattern), F.concat(F.lit("["), F.concat_ws(":", *parts), F.lit("]"))).otherwise("")
+    """'[HH:MM:SS]' of the first time in text, wherever it stands, unchecked; '' if there is none."""
+    parts = [F.lpad(F.regexp_extract(text, ANY_TIME, k), 2, "0") for k in (1, 2, 3)]
+    return F.when(text.rlike(ANY_TIME), F.concat(F.lit("["), F.concat_ws(":", *parts), F.lit("]"))).otherwise("")
 
 
 def is_complete(text: Column) -> Column:

@@ -26,12 +26,12 @@ def nested_counts(rows: DataFrame, outer: Column, inner: Column) -> DataFrame:
 
 
 def item_mix(rows: DataFrame, most: int = 3) -> DataFrame:
-    """player, mix: the most used items as 'item ×n, ...'. The window is over a player's distinct items."""
-    counts = nested_counts(rows, texts.label(F.col("player")), F.col("item"))
-    order = Window.partitionBy("outer_key").orderBy(F.desc("n"), "label")
+    """player, mix: the most used items (as they stand) as 'item ×n, ...', equal counts by name. The window is over a player's distinct items."""
+    counts = rows.groupBy(texts.label(F.col("player")).alias("player"), F.coalesce("item", F.lit("")).alias("item")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("player").orderBy(F.desc("n"), *texts.alphabetical(F.col("item")))
     top = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-    part = F.concat("label", F.lit(" ×"), "n")
-    return top.groupBy(F.col("outer_key").alias("player")).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("nth", part.alias("part")))), lambda x: x["part"])).alias("mix"))
+    part = F.concat("item", F.lit(" ×"), "n")
+    return top.groupBy("player").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("nth", part.alias("part")))), lambda x: x["part"])).alias("mix"))
 
 
 def uses_split(rows: DataFrame, items: DataFrame, strong: int = 100) -> DataFrame:
@@ -61,11 +61,11 @@ def facet_players(rows: DataFrame, items: Sequence[str]) -> DataFrame:
     return rows.groupBy(texts.label(F.col("player")).alias("player")).agg(F.count_if(hit).alias("n"))
 
 
-def header(rows: DataFrame, segs: DataFrame, seen: Column) -> DataFrame:
-    """Of what is seen: rows, all rows, players, overlapping uses, first and last time in order pos."""
-    joined = rows.select("ord", "pos").join(segs, "ord").withColumn("seen__", seen)
+def header(segs: DataFrame, seen: Column) -> DataFrame:
+    """Of what is seen: rows, all rows, players, overlapping uses, first and last time in order pos. segs are segments of rows that have pos."""
+    marked = segs.withColumn("seen__", F.coalesce(seen, F.lit(False)))
     when = lambda c: F.when(F.col("seen__"), c)
-    return joined.agg(
+    return marked.agg(
         F.count_if("seen__").alias("shown"), F.count("*").alias("all_rows"), F.count_distinct(when(F.col("timeline"))).alias("players"),
         F.count_if(F.col("seen__") & (F.col("lost_s") > 0) & (F.col("weight") > 0)).alias("overlaps"),
         F.min_by(times.shown(F.col("timestamp")), when(F.col("pos"))).alias("first_time"), F.max_by(times.shown(F.col("timestamp")), when(F.col("pos"))).alias("last_time"),

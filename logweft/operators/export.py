@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.functions import texts, times
 from logweft.operators import counts, packing, timeline
 
 LIMIT = 2000
+#: Ranges that a player's records are counted in, at most.
+MOST_RANGES = 65_536
 HEADER = "time,player,item,source,line from bottom"
 
 
@@ -23,7 +25,8 @@ def csv_line() -> Column:
 
 
 def json_row() -> Column:
-    row = F.struct(times.shown(F.col("timestamp")).alias("timestamp"), "player", "item", F.col("file").alias("source"), F.col("display_id").alias("lineFromBottom"))
+    """A record as JSON in one line; the time is as it stands."""
+    row = F.struct("timestamp", "player", "item", F.col("file").alias("source"), F.col("display_id").alias("lineFromBottom"))
     return F.to_json(row, {"ignoreNullFields": "false"})
 
 
@@ -32,26 +35,67 @@ def csv_document(rows: DataFrame) -> DataFrame:
     return rows.select((F.col("ord") + 1).alias("line_no"), csv_line().alias("line")).unionByName(rows.sparkSession.range(1).select(F.col("id").alias("line_no"), F.lit(HEADER).alias("line")))
 
 
+def json_text(value: Column) -> Column:
+    """A text as JSON writes it, quotes around it; null is null."""
+    quoted = F.to_json(F.array(value))
+    return F.when(value.isNull(), "null").otherwise(F.regexp_extract(quoted, r"(?s)^\[(.*)\]\z", 1))
+
+
+def json_block() -> Column:
+    """A record as it stands in a JSON document of two spaces a level."""
+    fields = [("timestamp", json_text(F.col("timestamp"))), ("player", json_text(F.col("player"))), ("item", json_text(F.col("item"))), ("source", json_text(F.col("file"))), ("lineFromBottom", F.coalesce(F.col("display_id").cast("string"), F.lit("null")))]
+    return F.concat(F.lit("    {\n"), F.concat_ws(",\n", *[F.concat(F.lit(f'      "{name}": '), value) for name, value in fields]), F.lit("\n    }"))
+
+
+#: Values of ord that a part of a document holds.
+PART = 4096
+
+
+def document(rows: DataFrame, kind: str) -> DataFrame:
+    """part and text of a CSV or JSON document of located() rows (ord from 0, unique): the texts in order of part are the document, byte by byte.
+
+    A part is PART consecutive values of ord, put in order and joined by itself, with the separators at the joints; part -1 is the head, and the last part the foot of JSON.
+    """
+    line = F.concat(F.lit("\n"), csv_line()) if kind == "csv" else json_block()
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "" if kind == "csv" else ",\n")
+    parts = rows.select("ord", line.alias("line")).groupBy(F.floor(F.col("ord") / PART).alias("part")).agg(joined.alias("text"))
+    if kind == "csv":
+        return parts.unionByName(rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("part"), F.lit(HEADER).alias("text")))
+    bounds = rows.agg(F.floor(F.min("ord") / PART).alias("first"), F.floor(F.max("ord") / PART).alias("last"))
+    parts = parts.crossJoin(F.broadcast(bounds)).select("part", F.when(F.col("part") > F.col("first"), F.concat(F.lit(",\n"), "text")).otherwise(F.col("text")).alias("text"))
+    ends = bounds.select(F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("part"), F.concat(F.lit('{\n  "schema": 1,\n  "records": ['), F.when(F.col("last").isNull(), "").otherwise("\n")).alias("text")),
+        F.struct((F.coalesce("last", F.lit(-1)) + 1).alias("part"), F.concat(F.when(F.col("last").isNull(), "").otherwise("\n  "), F.lit("]\n}")).alias("text")),
+    )))
+    return parts.unionByName(ends)
+
+
 def mime(kind: str) -> str:
     return {"csv": "text/csv", "json": "application/json"}.get(kind, "text/plain")
 
 
-def file_name(at: Column, kind: str, prefix: str = "log", message: int | None = None) -> Column:
-    suffix = f"-message-{message}" if message else ""
-    ending = {"csv": "csv", "json": "json"}.get(kind, "txt")
-    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(f"{suffix}.{ending}"))
+def file_name(at: Column, kind: str, prefix: str = "log") -> Column:
+    """'<prefix>-YYYYMMDD-HHMMSS' with the ending of the kind (csv, json, plain or chat)."""
+    ending = {"csv": ".csv", "json": ".json", "chat": "-chat.txt"}.get(kind, ".txt")
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(ending))
+
+
+def headed(player: Column, n: Column, value: Column) -> Column:
+    """'player · n uses (value)'."""
+    return F.concat(player, F.lit(" · "), texts.plural(n, "use", "uses"), F.lit(" ("), F.coalesce(value, F.lit("0.00")), F.lit(")"))
 
 
-def fitted(heading: str, lines: list[str], limit: int = LIMIT) -> list[str]:
-    """heading and lines, few enough to hold, in as many messages as it takes, each with the heading; player_blocks() does so for columns."""
-    size = lambda text: len(text.encode("utf-16-le")) // 2
-    out = [heading]
-    for line in lines:
-        if size(out[-1]) + 1 + size(line) <= limit:
-            out[-1] += "\n" + line
-        else:
-            out.append(f"{heading}\n{line}")
-    return out
+def own_places(records: DataFrame) -> DataFrame:
+    """records with own, their place (from 0, by pos) among those of their player: rank in a range of pos, and the player's records in ranges before.
+
+    There are at most as many ranges as MOST_RANGES, whatever the number of records.
+    """
+    width = max(packing.RUN, -(-(records.agg(F.max("pos")).first()[0] or 0) // MOST_RANGES))
+    ranged = records.withColumn("range__", F.floor(F.col("pos") / width))
+    earlier = Window.partitionBy("player").orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("player", "range__").count().select("player", "range__", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before__"))
+    ranked = ranged.withColumn("rank__", F.row_number().over(Window.partitionBy("player", "range__").orderBy("pos")))
+    return ranked.join(before, ["player", "range__"]).withColumn("own", (F.col("before__") + F.col("rank__") - 1).cast("long")).drop("range__", "before__", "rank__")
 
 
 def player_blocks(records: DataFrame, effective: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -61,10 +105,11 @@ def player_blocks(records: DataFrame, effective: DataFrame, limit: int = LIMIT)
     Null players, times and items count as empty text.
     """
     value = effective.select(F.col("player").alias("label"), texts.two_places("effective").alias("value"))
-    rows = records.withColumn("player", F.coalesce("player", F.lit(""))).withColumn("label", texts.trimmed(F.col("player"))).join(value, "label", "left")
-    heading = F.concat(F.lit("### "), "player", F.lit(" ("), F.coalesce("value", F.lit("0.00")), F.lit(")"))
+    rows = own_places(records.withColumn("player", F.coalesce("player", F.lit(""))))
+    heads = rows.groupBy("player").agg(F.count("*").alias("n")).withColumn("label", F.col("player")).join(value, "label", "left")
+    heads = heads.select("player", F.concat(F.lit("### "), headed(F.col("player"), F.col("n"), F.col("value"))).alias("heading"))
     line = F.concat(F.lit("`"), F.coalesce(times.shown(F.col("timestamp")), F.lit("")), F.lit("` "), F.coalesce("item", F.lit("")))
-    rows = rows.select("player", heading.alias("heading"), line.alias("line"), F.col("pos").cast("long").alias("place"), F.floor(F.col("pos") / packing.RUN).alias("run"))
+    rows = rows.join(heads, "player").select("player", "heading", line.alias("line"), F.col("own").alias("place"), F.floor(F.col("own") / packing.RUN).alias("run"))
     start, size = texts.units(F.col("heading")), texts.units(F.col("line"))
     states = [size.alias("size"), F.least(start + 1 + size, F.lit(limit)).alias("fresh"), F.least(start, F.lit(limit)).alias("start")]
     parts = packing.packed(packing.pinned(rows.select("*", *states)), ["player"], limit).groupBy("player", F.col("number").alias("part"))
@@ -165,9 +210,9 @@ def report(records: DataFrame, segs: DataFrame, items: DataFrame, mode: str, cha
     if chat:
         return out
     value = players.select(F.col("player").alias("label"), texts.two_places("effective").alias("value"))
-    heads = records.select("player").distinct().withColumn("label", texts.trimmed(F.col("player"))).join(value, "label", "left")
+    heads = records.groupBy("player").agg(F.count("*").alias("n")).withColumn("label", F.col("player")).join(value, "label", "left")
     heads = heads.select(col("player").alias("name"), F.inline(F.array(
-        F.struct(F.lit(-2).cast("long").alias("place"), F.lit("").alias("line")), F.struct(F.lit(-1).cast("long").alias("place"), F.concat("player", F.lit(" ("), F.coalesce("value", F.lit("0.00")), F.lit(")")).alias("line")),
+        F.struct(F.lit(-2).cast("long").alias("place"), F.lit("").alias("line")), F.struct(F.lit(-1).cast("long").alias("place"), headed(col("player"), col("n"), col("value")).alias("line")),
     )))
     lines = records.select(col("player").alias("name"), col("pos").cast("long").alias("place"), F.concat_ws(" ", times.shown(col("timestamp")), "item").alias("line"))
     return out.unionByName(put(heads.unionByName(lines), F.lit(11), place=col("place"), name=col("name")))
@@ -177,3 +222,16 @@ def in_order(lines: DataFrame) -> DataFrame:
     """Lines of a report as they are written: the table of players by effect, the rest by name and place."""
     by_effect = F.when(F.col("section") == 9, F.col("place"))
     return lines.orderBy("section", by_effect, F.desc("effective"), F.desc("logs"), *texts.alphabetical(F.col("name")), "place")
+
+
+def chat(records: DataFrame, segs: DataFrame, items: DataFrame, mode: str, limit: int = LIMIT) -> DataFrame:
+    """message (from 0) and text: the summary, then the players' blocks. Records have pos. Without records message 0 is NOTHING.
+
+    The summary's text has a line for each player and item, as its table has; the other messages are of limit units at most, but for a line that is longer.
+    """
+    lines = report(records, segs, items, mode, chat=True)
+    place = F.when(F.col("section") == 9, F.col("place")).otherwise(0)
+    order = F.struct("section", place.alias("place"), (-F.col("effective")).alias("effective"), (-F.col("logs")).alias("logs"), *[c.alias(f"name_{k}") for k, c in enumerate(texts.alphabetical(F.col("name")))], "line")
+    summary = lines.agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"])).alias("text")).select(F.lit(0).cast("long").alias("message"), "text")
+    rest = messages(player_blocks(records, timeline.by_player(segs), limit), limit)
+    return summary.unionByName(rest.select((F.col("message") + 1).alias("message"), "text"))

@@ -2,7 +2,7 @@
 
 A log has no dates. Its rows, by time, form a circle; the first of the widest gaps is where the log begins and ends, and times
 before it belong to the next day. All windows here run over the distinct seconds of a key, at most 86,400 of
-them however many rows it has; rows are joined to their second, so no task sorts a key's rows.
+them however many rows it has; rows are joined to their second, and those of one second are put in order in parts, so no task sorts a key's rows.
 """
 
 from __future__ import annotations
@@ -26,18 +26,29 @@ def start_second(seconds: DataFrame, key: list[str]) -> DataFrame:
     return gaps.withColumn("first_sod", widest["after"]).drop("after", "gap")
 
 
+#: Bits of ord that a part of a second holds: at most so many rows of a second are put in order by one task.
+PART_BITS = 16
+
+
 def ordered(records: DataFrame, key: list[str]) -> DataFrame:
-    """records with sod, pos (from 0, in the order of their key) and day_offset (0 or 86400)."""
-    rows = records.withColumn("sod", times.seconds_of_day(F.col("timestamp")))
-    seconds = start_second(rows.groupBy(*key, "sod").agg(F.count("*").alias("n")), key)
+    """records with sod, pos (from 0, in the order of their key) and day_offset (0 or 86400). Null keys are a key like others.
+
+    A row's place is the rows of earlier seconds, those of earlier parts of its second (by ord), and its rank in its part.
+    """
+    rows = records.withColumn("sod", times.seconds_of_day(F.col("timestamp"))).withColumn("part__", F.shiftright("ord", PART_BITS))
+    parts = rows.groupBy(*key, "sod", "part__").agg(F.count("*").alias("n"))
+    own = lambda df, *more: [df[c].eqNullSafe(F.col(f"{c}__")) for c in key] + [df[c] == F.col(f"{c}__of") for c in more]
+    renamed = lambda df, *more: df.withColumnsRenamed({c: f"{c}__" for c in key} | {c: f"{c}__of" for c in more})
+    seconds = start_second(parts.groupBy(*key, "sod").agg(F.sum("n").alias("n")), key)
     seconds = seconds.withColumn("day_offset", F.when(F.col("sod") < F.col("first_sod"), times.DAY).otherwise(0))
     family = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy("day_offset", "sod").rowsBetween(Window.unboundedPreceding, -1)
     seconds = seconds.withColumn("earlier", F.coalesce(F.sum("n").over(family), F.lit(0))).drop("n", "first_sod")
-    in_second = Window.partitionBy(*key, "sod").orderBy("ord")
-    return (
-        rows.withColumn("nth", F.row_number().over(in_second)).join(seconds, [*key, "sod"])
-        .withColumn("pos", F.col("earlier") + F.col("nth") - 1).drop("earlier", "nth")
-    )
+    in_second = Window.partitionBy(*key, "sod").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(in_second), F.lit(0))).drop("n")
+    offsets = parts.join(renamed(seconds, "sod"), own(parts, "sod")).select(*key, "sod", "part__", "day_offset", (F.col("earlier") + F.col("before")).alias("earlier"))
+    ranked_rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "sod", "part__").orderBy("ord")))
+    both = ranked_rows.join(renamed(offsets, "sod", "part__"), own(ranked_rows, "sod", "part__"))
+    return both.select(*[ranked_rows[c] for c in records.columns], ranked_rows["sod"], "day_offset", (F.col("earlier") + F.col("nth") - 1).alias("pos"))
 
 
 def weight(watt: Column, mode: str) -> Column:

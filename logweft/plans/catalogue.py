@@ -86,9 +86,11 @@ def segments_detail(spark, sf_dir):
     return segs(spark, sf_dir, timeline.SCALED).select("id", "player", "item", "start_s", "end_s", "active_s", "full_s", "lost_s", "weight")
 
 
-@query(f"with {REC}, {wrapped('player')} select id, player, sod, pos, day_offset from w")
+@query(f"with {REC.replace('rec as', 'named as')}, rec as (select * replace (nullif(player, 'user7') as player) from named), {wrapped('player')} select id, player, sod, pos, day_offset from w")
 def timeline_wrap_player(spark, sf_dir):
-    return timeline.ordered(records(spark, sf_dir), ["player"]).select("id", "player", "sod", "pos", "day_offset")
+    """Of each player, and of those without a name as of one."""
+    rows = records(spark, sf_dir).withColumn("player", F.when(F.col("player") != "user7", F.col("player")))
+    return timeline.ordered(rows, ["player"]).select("id", "player", "sod", "pos", "day_offset")
 
 
 TWICE = REC.replace("rec as", "one as") + ", two as (select * from one union all select ord + 100000000, id || '_again', timestamp, player, item, source, source_slice_id from one where ord % 7 = 0)"
@@ -128,10 +130,15 @@ def nested_counts(spark, sf_dir):
     return counts.nested_counts(records(spark, sf_dir), F.col("player"), F.col("item"))
 
 
-@query(f"""with {REC}, c as (select player, item, count(*) as n from rec group by 1, 2), r as (select *, row_number() over (partition by player order by n desc, item) as nth from c)
+MIXED = "case ord % 4 when 0 then upper(substr(item, 1, 1)) || substr(item, 2) when 1 then 'é' || item else item end"
+
+
+@query(f"""with {REC}, c as (select player, {MIXED} as item, count(*) as n from rec group by 1, 2),
+  r as (select *, row_number() over (partition by player order by n desc, replace(lower(item), 'é', 'e'), case when item like 'é%' then 1 else 0 end, item desc) as nth from c)
   select player, string_agg(item || ' ×' || n, ', ' order by nth) as mix from r where nth <= 3 group by 1""")
 def item_mix_top3(spark, sf_dir):
-    return counts.item_mix(records(spark, sf_dir))
+    """Items in either case and with accents: equal counts are in the order of a dictionary, small letters first."""
+    return counts.item_mix(records(spark, sf_dir).withColumn("item", F.expr(MIXED)))
 
 
 @query(f"""with {REC}, {DIM}, c as (select player, count(*) filter (coalesce(watt, 0) >= 100) as hi, count(*) as n from rec left join dim using (item) group by 1)
@@ -156,20 +163,20 @@ def facet_players_zero_filled(spark, sf_dir):
   select d.*, (select substr(timestamp, 2, 8) from w2 where item = 'purchase' order by pos limit 1) as first_time,
   (select substr(timestamp, 2, 8) from w2 where item = 'purchase' order by pos desc limit 1) as last_time from d""")
 def facet_header(spark, sf_dir):
-    rows = timeline.ordered(records(spark, sf_dir), [])
-    return counts.header(rows, segs(spark, sf_dir), F.col("item") == "purchase")
+    rows = timeline.ordered(records(spark, sf_dir), []).drop("sod", "day_offset")
+    return counts.header(timeline.segments(rows, item_dimension(spark)), F.col("item") == "purchase")
 
 
-@query("""with v as (select event_id, case event_id % 4 when 0 then '[' || strftime(ts, '%H:%M:%S') || ']' when 1 then '7:8:9' when 2 then '[24:00:61]' else 'at noon' end as t, (event_id * 37) % 100000 as s from events)
+@query("""with v as (select event_id, case event_id % 4 when 0 then '[' || strftime(ts, '%H:%M:%S') || ']' when 1 then 'at 7:8:9 x' when 2 then '[24:00:61]' else 'at noon' end as t, (event_id * 37) % 100000 as s from events)
   select event_id, case event_id % 4 when 0 then substr(t, 2, 2)::int * 3600 + substr(t, 5, 2)::int * 60 + substr(t, 8, 2)::int when 1 then 25689 when 2 then 86461 else 0 end as sod,
-  case event_id % 4 when 0 then t when 1 then '[07:08:09]' when 2 then t else '' end as normal, event_id % 4 = 0 as complete,
+  case event_id % 4 when 0 then t when 1 then '[07:08:09]' when 2 then '[24:00:61]' else '' end as normal, event_id % 4 = 0 as complete,
   case event_id % 4 when 0 then substr(t, 2, 8) when 2 then '24:00:61' else t end as shown,
   case when s // 60 = 0 then s || 's' when s % 60 = 0 then (s // 60) || 'm' else (s // 60) || 'm ' || (s % 60) || 's' end as lasted,
   lpad(((s % 86400) // 3600)::varchar, 2, '0') || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as clock from v""")
 def time_scalars(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     k = F.col("event_id") % 4
-    t = F.when(k == 0, F.date_format("ts", "'['HH:mm:ss']'")).when(k == 1, "7:8:9").when(k == 2, "[24:00:61]").otherwise("at noon")
+    t = F.when(k == 0, F.date_format("ts", "'['HH:mm:ss']'")).when(k == 1, "at 7:8:9 x").when(k == 2, "[24:00:61]").otherwise("at noon")
     v = e.select("event_id", t.alias("t"), (F.col("event_id") * 37 % 100000).alias("s"))
     return v.select(
         "event_id", times.seconds_of_day(F.col("t")).alias("sod"), times.normalized(F.col("t")).alias("normal"), times.is_complete(F.col("t")).alias("complete"),
@@ -210,29 +217,37 @@ def rename_player(spark, sf_dir):
     return review.renamed(records(spark, sf_dir), "user7", "someone").select("id", *review.EDITED)
 
 
-FILES = """files as (select doc_id as file_ord, 'shot_' || doc_id || '.png' as name, case when doc_id % 11 = 0 then 'text/plain' else 'image/png' end as mime, text,
-  coalesce(strlen(text), 0) as size_bytes from documents),
-  known as (select doc_id as id, sha256(text) as checksum, 'accepted' as status, case when doc_id % 10 = 3 then 'active' else 'removed' end as lifecycle from documents where doc_id % 10 in (3, 7) and text is not null)"""
+FILES = """twice as (select doc_id, doc_id as file_ord, text from documents union all select doc_id, doc_id + 10000000, text from documents where doc_id % 10 in (3, 4)),
+  files as (select file_ord, 'shot_' || doc_id || case doc_id % 11 when 0 then '.txt' when 5 then '.PNG' when 7 then '' else '.png' end as name,
+    case doc_id % 11 when 0 then 'text/plain' when 5 then 'application/octet-stream' when 6 then null else 'image/png' end as mime, text, coalesce(strlen(text), 0) as size_bytes from twice),
+  known as (select doc_id as id, sha256(text) as checksum, 'accepted' as status, case when doc_id % 10 = 3 then 'active' else 'removed' end as lifecycle, 'old_' || doc_id as file_name, -1::bigint as size_bytes
+    from documents where doc_id % 10 in (3, 7) and text is not null)"""
 
 
 def files(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("file_ord"), F.concat(F.lit("shot_"), "doc_id", F.lit(".png")).alias("name"), F.when(F.col("doc_id") % 11 == 0, "text/plain").otherwise("image/png").alias("mime"),
-        F.col("text").cast("binary").alias("content"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size_bytes"),
-    )
+    """Documents as files, some twice; types and names that say PNG, one of both, or neither."""
+    d = table(spark, sf_dir, "documents")
+    twice = d.withColumn("file_ord", F.col("doc_id")).unionByName(d.where("doc_id % 10 in (3, 4)").withColumn("file_ord", F.col("doc_id") + 10_000_000))
+    k = F.col("doc_id") % 11
+    name = F.concat(F.lit("shot_"), "doc_id", F.when(k == 0, ".txt").when(k == 5, ".PNG").when(k == 7, "").otherwise(".png"))
+    mime = F.when(k == 0, "text/plain").when(k == 5, "application/octet-stream").when(k == 6, None).otherwise("image/png")
+    return twice.select("file_ord", name.alias("name"), mime.alias("mime"), F.col("text").cast("binary").alias("content"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size_bytes"))
 
 
 def known(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("doc_id % 10 in (3, 7) and text is not null")
-    return d.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("checksum"), F.lit("accepted").alias("status"), F.when(F.col("doc_id") % 10 == 3, "active").otherwise("removed").alias("lifecycle"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("checksum"), F.lit("accepted").alias("status"), F.when(F.col("doc_id") % 10 == 3, "active").otherwise("removed").alias("lifecycle"),
+        F.concat(F.lit("old_"), "doc_id").alias("file_name"), F.lit(-1).cast("long").alias("size_bytes"),
+    )
 
 
-ADMIT = f"""{FILES}, sound as (select *, sha256(text) as checksum, row_number() over (partition by sha256(text) order by file_ord) as nth from files where mime = 'image/png' and size_bytes < 20000),
-  a as (select checksum, min(id) as aid from known where lifecycle = 'active' group by 1), r as (select checksum, min(id) as rid from known where lifecycle = 'removed' group by 1),
-  judged as (select file_ord, name, size_bytes, checksum, rid, case when aid is not null then 'duplicate' when rid is not null then 'restored' else 'accepted' end as outcome
-    from sound left join a using (checksum) left join r using (checksum) where nth = 1),
-  outcomes as (select file_ord, name, size_bytes, checksum, outcome, case outcome when 'restored' then rid when 'accepted' then 999999 + row_number() over (partition by outcome order by file_ord) end as id from judged
-    union all select file_ord, name, size_bytes, null, case when mime <> 'image/png' then 'not_png' else 'too_large' end, null from files where mime <> 'image/png' or size_bytes >= 20000)"""
+ADMIT = f"""{FILES}, checked as (select *, sha256(text) as checksum, case when not (coalesce(mime, '') = 'image/png' or lower(name) like '%.png') then 'not_png' when size_bytes >= 20000 then 'too_large' end as refused from files),
+  judged as (select *, checksum in (select checksum from known where lifecycle = 'active') as again, (select min(id) from known where lifecycle = 'removed' and known.checksum = checked.checksum) as rid from checked where refused is null),
+  once as (select * from (select *, row_number() over (partition by checksum order by file_ord) as nth from judged where again is not true) where nth = 1),
+  outcomes as (select file_ord, name, size_bytes, checksum, case when rid is null then 'accepted' else 'restored' end as outcome, coalesce(rid, 999999 + row_number() over (partition by rid is null order by file_ord)) as id from once
+    union all select file_ord, name, size_bytes, checksum, 'duplicate', null from judged where again
+    union all select file_ord, name, size_bytes, null, refused, null from checked where refused is not null)"""
 
 
 @query(f"with {ADMIT} select * from outcomes")
@@ -240,15 +255,22 @@ def asset_admission(spark, sf_dir):
     return assets.admitted(files(spark, sf_dir), known(spark, sf_dir), 1_000_000, 20_000)
 
 
-@query(f"with {ADMIT} select id, case when id in (select id from outcomes where outcome = 'restored') then 'active' else lifecycle end as lifecycle from known")
+@query(f"""with {ADMIT}, r as (select id, name, size_bytes from outcomes where outcome = 'restored')
+  select known.id, case when r.id is not null then 'active' else lifecycle end as lifecycle, coalesce(r.name, file_name) as file_name, coalesce(r.size_bytes, known.size_bytes) as size_bytes from known left join r using (id)""")
 def asset_restore(spark, sf_dir):
-    return assets.restored(known(spark, sf_dir), assets.admitted(files(spark, sf_dir), known(spark, sf_dir), 1_000_000, 20_000)).select("id", "lifecycle")
+    return assets.restored(known(spark, sf_dir), assets.admitted(files(spark, sf_dir), known(spark, sf_dir), 1_000_000, 20_000)).select("id", "lifecycle", "file_name", "size_bytes")
+
+
+@query(f"with {ADMIT} select file_ord, name, case outcome " + " ".join(f"when '{k}' then '{v}'" for k, v in assets.REASONS.items()) + f" else '{assets.OTHER_REASON}' end as reason from outcomes where outcome not in ('accepted', 'restored')")
+def refused_files(spark, sf_dir):
+    found = assets.admitted(files(spark, sf_dir), known(spark, sf_dir), 1_000_000, 20_000)
+    return found.where("outcome not in ('accepted', 'restored')").select("file_ord", "name", assets.reason_text(F.col("outcome")).alias("reason"))
 
 
 IMAGES = """images as (select doc_id as id, case when doc_id % 6 = 5 then 'rejected' else 'accepted' end as status, case when doc_id % 6 = 5 then null when doc_id % 6 = 2 then 'removed' else 'active' end as lifecycle from documents),
   slices as (select doc_id || '-' || k as slice_id, doc_id as image_id, k, 40 - k as display_id, 'shot_' || doc_id || '.png' as image_file_name from documents, range(1, 4) t(k)),
   results as (select slice_id, case when image_id % 2 = 0 then 'fast' else 'best' end as mode, case when (image_id + k) % 5 = 0 then 'rejected' else 'accepted' end as status,
-    case when (image_id + k) % 10 = 0 then 'ocr_error' when (image_id + k) % 5 = 0 then 'not_a_use' end as rejection_reason from slices where (image_id + k) % 3 <> 0)"""
+    case when (image_id + k) % 10 = 0 then 'ocr_error' when (image_id + k) % 25 = 0 then 'something_else' when (image_id + k) % 5 = 0 then 'not_a_use' end as rejection_reason from slices where (image_id + k) % 3 <> 0)"""
 
 
 def images(spark, sf_dir) -> DataFrame:
@@ -265,13 +287,17 @@ def results(spark, sf_dir) -> DataFrame:
     at = F.col("image_id") + F.col("k")
     return slices(spark, sf_dir).where(at % 3 != 0).select(
         "slice_id", F.when(F.col("image_id") % 2 == 0, "fast").otherwise("best").alias("mode"), F.when(at % 5 == 0, "rejected").otherwise("accepted").alias("status"),
-        F.when(at % 10 == 0, "ocr_error").when(at % 5 == 0, "not_a_use").alias("rejection_reason"),
+        F.when(at % 10 == 0, "ocr_error").when(at % 25 == 0, "something_else").when(at % 5 == 0, "not_a_use").alias("rejection_reason"),
     )
 
 
-@query(f"with {IMAGES}, gone as (select slice_id from slices where image_id in (select id from images where lifecycle = 'removed')) select slice_id, status from results where slice_id not in (select slice_id from gone)")
+@query(f"""with {IMAGES}, gone as (select slice_id from slices where image_id in (select id from images where lifecycle = 'removed'))
+  select 'image' as part, id::varchar as id from images where lifecycle is null or lifecycle <> 'removed' union all select 'slice', slice_id from slices where slice_id not in (select slice_id from gone)
+  union all select 'result', slice_id from results where slice_id not in (select slice_id from gone)""")
 def asset_gc(spark, sf_dir):
-    return assets.cleared(images(spark, sf_dir), slices(spark, sf_dir), results(spark, sf_dir))[2].select("slice_id", "status")
+    kept, own, found = assets.cleared(images(spark, sf_dir), slices(spark, sf_dir), results(spark, sf_dir))
+    rows = lambda df, part, name: df.select(F.lit(part).alias("part"), F.col(name).cast("string").alias("id"))
+    return rows(kept, "image", "id").unionByName(rows(own, "slice", "slice_id")).unionByName(rows(found, "result", "slice_id"))
 
 
 @query("""select page_id || '-' || (k + 1) as slice_id, page_id as image_id, (k + 1)::int as index, (39 - k)::int as display_id, (page_id % 7)::int as left, (605 - 69 - 39 * 13 + k * 13)::int as top, 384 as width, 12 as height
@@ -326,7 +352,7 @@ def export_rows_csv(spark, sf_dir):
     return exported(spark, sf_dir).select("ord", export.csv_line().alias("line"))
 
 
-@query(f"""with {PLACED} select ord, '{{"timestamp":"' || substr(timestamp, 2, 8) || '","player":"' || player || '","item":"' || item || '","source":"' || coalesce(image_file_name, 'unknown.png') || '","lineFromBottom":' || coalesce(display_id::varchar, 'null') || '}}' as row_json from e""")
+@query(f"""with {PLACED} select ord, '{{"timestamp":"' || timestamp || '","player":"' || player || '","item":"' || item || '","source":"' || coalesce(image_file_name, 'unknown.png') || '","lineFromBottom":' || coalesce(display_id::varchar, 'null') || '}}' as row_json from e""")
 def export_rows_json(spark, sf_dir):
     return exported(spark, sf_dir).select("ord", export.json_row().alias("row_json"))
 
@@ -433,7 +459,7 @@ def cleanup_rows(spark, sf_dir):
     return review.of_players(records(spark, sf_dir), ["user7", "user8"]).select("id", "player", "timestamp", "nth")
 
 
-REASON = "case rejection_reason " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in assets.REASONS.items()) + " else rejection_reason end as reason"
+REASON = "case rejection_reason " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in assets.REASONS.items()) + f" else '{assets.OTHER_REASON}' end as reason"
 
 
 @query(f"with {IMAGES} select slice_id, {REASON} from results where status in ('rejected', 'failed')")
@@ -489,9 +515,13 @@ def pixel_scalars(spark, sf_dir):
 
 
 @query("""select event_id, case when event_id % 4 = 0 then (event_id // 4)::varchar when event_id % 2 = 0 then (event_id // 4) || '.5' else (event_id // 4) || case event_id % 4 when 1 then '.25' else '.75' end end || '×' as compact,
-  replace(replace(event_type || chr(39) || chr(39), chr(39) || chr(39), '"'), 'l', 'I') as alike from events""")
+  replace(replace(event_type || chr(39) || chr(39), chr(39) || chr(39), '"'), 'l', 'I') as alike,
+  case when event_id % 9 = 0 then '0.00' else '-' || (event_id * 7 // 8)::varchar || '.' || lpad((((event_id * 7 % 8) * 250 + 10) // 20)::varchar, 2, '0') end as delta,
+  case when event_id < 1024 then event_id || ' B' when event_id < 1048576 then printf('%.1f KB', event_id / 1024.0) else printf('%.1f MB', event_id / 1048576.0) end as size from events""")
 def label_scalars(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", texts.compact(F.col("event_id") / 4).alias("compact"), texts.same_glyphs(F.concat("event_type", F.lit("''"))).alias("alike"))
+    n = F.col("event_id")
+    lost = F.when(n % 9 == 0, 0.0).otherwise(n * 7 / 8)
+    return table(spark, sf_dir, "events").select("event_id", texts.compact(n / 4).alias("compact"), texts.same_glyphs(F.concat("event_type", F.lit("''"))).alias("alike"), texts.delta(lost).alias("delta"), texts.file_size(n).alias("size"))
 
 
 @query("""select page_id as image_id, (page_id % 13 - 4)::int as left, (8 - (page_id % 12 - 4))::int as top, 800 as width, 600 as height,
@@ -534,7 +564,7 @@ def report_sql(mode: str, chat: bool) -> str:
   union all select 9, 0, 0, 0, '', rpad('Player', a, ' ') || '  ' || rpad('Uses', b, ' ') || '  ' || lpad('Apples', c, ' ') from pwid
   union all select 9, 1, 0, 0, '', repeat('─', a) || '  ' || repeat('─', b) || '  ' || repeat('─', c) from pwid"""
     return out if chat else out + f"""
-  union all select 11, -2, 0, 0, name, '' from pval union all select 11, -1, 0, 0, name, name || ' (' || value || ')' from pval
+  union all select 11, -2, 0, 0, name, '' from pval union all select 11, -1, 0, 0, name, name || ' · ' || logs || case logs when 1 then ' use (' else ' uses (' end || value || ')' from pval
   union all select 11, row_number() over (partition by player order by ord) - 1, 0, 0, player, substr(timestamp, 2, 8) || ' ' || item from rec"""
 
 
@@ -561,7 +591,56 @@ def anchor_candidates(spark, sf_dir):
     return glyphs.candidates(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", CHARS), "ord", glyphs.font(spark, CHARS), WIDTHS)
 
 
-@query()
+PARTS = f"{PLACED}, p as (select *, ord // {export.PART} as part from e)"
+
+
+@query(f"""with {PARTS} select -1::bigint as part, '{export.HEADER}' as text union all
+  select part, chr(10) || string_agg(substr(timestamp, 2, 8) || ',' || player || ',' || item || ',' || case when image_file_name is null then 'unknown.png,' else '"' || image_file_name || '",' || display_id end, chr(10) order by ord) from p group by 1""")
+def export_csv_file(spark, sf_dir):
+    return export.document(exported(spark, sf_dir), "csv")
+
+
+@query(f"""with {PARTS}, r as (select part, ord, '    {{' || chr(10) || '      "timestamp": "' || timestamp || '",' || chr(10) || '      "player": "' || player || '",' || chr(10) || '      "item": "' || item || '",' || chr(10)
+    || '      "source": "' || coalesce(image_file_name, 'unknown.png') || '",' || chr(10) || '      "lineFromBottom": ' || coalesce(display_id::varchar, 'null') || chr(10) || '    }}' as block from p)
+  select -1::bigint as part, '{{' || chr(10) || '  "schema": 1,' || chr(10) || '  "records": [' || chr(10) as text union all
+  select part, case when part > (select min(part) from r) then ',' || chr(10) else '' end || string_agg(block, ',' || chr(10) order by ord) from r group by 1 union all
+  select max(part) + 1, chr(10) || '  ]' || chr(10) || '}}' from r""")
+def export_json_file(spark, sf_dir):
+    return export.document(exported(spark, sf_dir), "json")
+
+
+@query("""select page_id, 'log-' || strftime(timestamp '2024-01-02 03:04:05' + page_id * interval 1 second, '%Y%m%d-%H%M%S') || case page_id % 4 when 0 then '.csv' when 1 then '.json' when 2 then '-chat.txt' else '.txt' end as name,
+  case page_id % 4 when 0 then 'text/csv' when 1 then 'application/json' else 'text/plain' end as mime from pages""")
+def export_names(spark, sf_dir):
+    at = F.timestamp_seconds(F.lit(1_704_164_645) + F.col("page_id"))
+    kinds = ("csv", "json", "chat", "plain")
+    pick = lambda make: F.coalesce(*[F.when(F.col("page_id") % 4 == k, make(kind)) for k, kind in enumerate(kinds)])
+    return table(spark, sf_dir, "pages").select("page_id", pick(lambda kind: export.file_name(at, kind)).alias("name"), pick(lambda kind: F.lit(export.mime(kind))).alias("mime"))
+
+
+def chat_sql(limit: int = export.LIMIT) -> str:
+    """Messages by recursion: over the lines of all players at once, then over their blocks."""
+    return f"""with recursive rep as (select * from ({report_sql("cutoff", True)})),
+  ord_rec as (select player, ord, '`' || substr(timestamp, 2, 8) || '` ' || item as line, row_number() over (partition by player order by pos) as k from (select * from ({ordered_sql()}))),
+  val as (select player, printf('%.2f', case when effective * 8 = floor(effective * 8) then effective + 0.001 else effective end) as value from ({segments_sql("cutoff")} select player, {TOTALS} from s group by player)),
+  head as (select player, '### ' || player || ' · ' || count(*) || case count(*) when 1 then ' use (' else ' uses (' end || any_value(value) || ')' as heading from ord_rec join val using (player) group by 1),
+  part(player, k, part, size) as (select player, 0::bigint, 0::bigint, length(heading) from head union all
+    select p.player, o.k, case when p.size + 1 + length(o.line) <= {limit} then p.part else p.part + 1 end, case when p.size + 1 + length(o.line) <= {limit} then p.size + 1 + length(o.line) else length(h.heading) + 1 + length(o.line) end
+    from part p join ord_rec o on o.player = p.player and o.k = p.k + 1 join head h on h.player = p.player),
+  block as (select player, part.part, any_value(heading) || chr(10) || string_agg(line, chr(10) order by part.k) as text, max(part.part) over (partition by player) > 0 as alone from part join ord_rec using (player, k) join head using (player) group by player, part.part),
+  nth as (select *, row_number() over (order by lower(player), player, part) as r from block),
+  msg(r, m, size) as (select 0::bigint, 0::bigint, {limit + 1} union all
+    select n.r, case when not n.alone and msg.size + 1 + length(n.text) <= {limit} then msg.m else msg.m + 1 end, case when n.alone then {limit + 1} when msg.size + 1 + length(n.text) <= {limit} then msg.size + 1 + length(n.text) else length(n.text) end
+    from msg join nth n on n.r = msg.r + 1)
+  select 0::bigint as message, string_agg(line, chr(10) order by section, case when section = 9 then place else 0 end, effective desc, logs desc, lower(name), name) as text from rep
+  union all select m, string_agg(text, chr(10) order by r) from msg join nth using (r) group by m"""
+
+
+def ordered_sql() -> str:
+    return f"with {REC}, {wrapped('')} select player, ord, timestamp, item, pos from w"
+
+
+@query(chat_sql())
 def chat_messages(spark, sf_dir):
-    rows = timeline.ordered(records(spark, sf_dir), [])
-    return export.messages(export.player_blocks(rows, timeline.by_player(segs(spark, sf_dir))))
+    rows = timeline.ordered(records(spark, sf_dir), []).drop("sod", "day_offset")
+    return export.chat(rows, timeline.segments(rows, item_dimension(spark)), item_dimension(spark), timeline.CUTOFF)

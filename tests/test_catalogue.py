@@ -36,6 +36,7 @@ def test_same_as_sql(spark, db, name):
 
 
 def test_messages_fit(spark):
-    rows = catalogue.chat_messages(spark, FOLDER).collect()
-    assert rows and all(len(r.text) <= 2000 for r in rows)
-    assert sum(r.text.count("\n`") + r.text.startswith("`") for r in rows) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    rows = catalogue.chat_messages(spark, FOLDER).orderBy("message").collect()
+    assert [r.message for r in rows] == list(range(len(rows))) and rows[0].text.startswith("# Log Summary")
+    assert all(len(r.text) <= 2000 for r in rows)
+    assert sum(r.text.count("\n`") for r in rows[1:]) == spark.read.parquet(f"{FOLDER}/events.parquet").count()

@@ -62,9 +62,53 @@ def test_texts(spark):
     assert tuple(row) == ("Unknown", 3, "0.01", "0.13", False, '"a""b"', "23:59:59", "00:00:59\u201300:00:00")
 
 
-def test_long_block_repeats_heading():
-    parts = export.fitted("### A", ["x" * 30] * 5, 70)
-    assert all(p.startswith("### A\n") and len(p) <= 70 for p in parts) and len(parts) == 5 - 2
+def test_documents_as_written(spark):
+    """Parts put together are what one writer would have written."""
+    import json
+
+    rows = [(k, f"[01:00:{k:02d}]", f'p "{k}"' if k % 3 else None, "a,b\nc", "f.png", None if k % 2 else k) for k in range(23)]
+    located = spark.createDataFrame(rows, "ord long, timestamp string, player string, item string, file string, display_id int").repartition(4)
+    join = lambda parts: "".join(r.text for r in parts.orderBy("part").collect())
+    want = {"schema": 1, "records": [{"timestamp": t, "player": p, "item": i, "source": f, "lineFromBottom": d} for _, t, p, i, f, d in rows]}
+    for width in (4, 4096):
+        export.PART = width
+        assert join(export.document(located, "json")) == json.dumps(want, indent=2)
+        cell = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in '",\n') else v
+        lines = [export.HEADER, *[",".join(cell(str("" if v is None else v)) for v in (t[1:-1], p, i, f, d)) for _, t, p, i, f, d in rows]]
+        assert join(export.document(located, "csv")) == "\n".join(lines)
+    export.PART = 4096
+    assert join(export.document(located.limit(0), "json")) == json.dumps({"schema": 1, "records": []}, indent=2) and join(export.document(located.limit(0), "csv")) == export.HEADER
+
+
+def test_one_of_several_rejected_pictures_goes(spark):
+    rows = [(0, "accepted", "a", "t", 1, None), (1, "rejected", "a", "t", 1, "r"), (2, "rejected", "a", "t", 1, "r"), (3, "rejected", "b", "t", 1, "r")]
+    images = spark.createDataFrame(rows, "ord long, status string, file_name string, created_at string, size_bytes long, rejection_reason string")
+    assert sorted(r.ord for r in assets.without_one(images, "a", "t", 1, "r").collect()) == [0, 2, 3]
+    assert assets.without_one(images, "c", "t", 1, "r").count() == 4
+
+
+def test_exact_halves(spark):
+    """Against the exact binary values, halves up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(6)
+    values = [0.0, 0.005, 0.015, 0.125, 1.005, 2.675, 1e9 + 0.005, 8.345, -0.125, -0.004] + [rng.randint(0, 10**6) / 200 for _ in range(3000)] + [rng.random() * 10 ** rng.randint(-3, 8) for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", texts.two_places("v").alias("t")).collect()
+    want = lambda v: ("-" if v < 0 else "") + str(Decimal(abs(v)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert [(r.v, r.t) for r in got if r.t != want(r.v)] == []
+
+
+def test_null_players_are_a_player(spark):
+    rows = spark.createDataFrame([(k, f"r{k}", "[00:00:01]", p, "x") for k, p in enumerate([None, "A", None])], ROWS)
+    got = {(r.ord, r.player, r.pos) for r in timeline.ordered(rows, ["player"]).collect()}
+    assert got == {(0, None, 0), (1, "A", 0), (2, None, 1)}
+
+
+def test_many_rows_of_one_second(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "PART_BITS", 3)
+    rows = spark.range(500).select((F.col("id") * 7).alias("ord"), F.lit("no time").alias("timestamp"))
+    got = timeline.ordered(rows, [])
+    assert got.where(F.col("pos") * 7 != F.col("ord")).count() == 0 and got.count() == 500
 
 
 def test_numbered(spark):
@@ -133,7 +177,8 @@ def test_messages_equal_one_pass(spark, monkeypatch, run, limit):
     got = [r.text for r in export.messages(export.player_blocks(records, values, limit), limit).orderBy("message").collect()]
     shown = {"ann": "1.50", "cy": "2.00"}
     order = ["ann", "bob", "Bob", "cy", "dee", *sorted(f"e{k}" for k in range(12))]
-    assert got == one_pass([(f"### {p} ({shown.get(p, '0.00')})", [f"`{t[1:-1]}` {i}" for q, _, t, i in rows if q == p]) for p in order], limit)
+    n = {p: sum(r[0] == p for r in rows) for p in order}
+    assert got == one_pass([(f"### {p} · {n[p]} use{'s' * (n[p] != 1)} ({shown.get(p, '0.00')})", [f"`{t[1:-1]}` {i}" for q, _, t, i in rows if q == p]) for p in order], limit)
 
 
 def test_report_in_order(spark, items):
@@ -141,7 +186,7 @@ def test_report_in_order(spark, items):
     lines = export.in_order(export.report(records, timeline.segments(records, items), items, "cutoff"))
     assert [r.line for r in lines.collect()] == [
         "Log Summary", "1 player · 2 items used", "", "Items used", "big    1", "other  1", "", "Effective Apples (Cutoff)",
-        "Player  Uses  Apples", "──────  ────  ──────", "A       1+2   (1.00)", "", "A (1.00)", "00:00:00 big", "00:05:00 other", "00:05:00 other",
+        "Player  Uses  Apples", "──────  ────  ──────", "A       1+2   (1.00)", "", "A · 3 uses (1.00)", "00:00:00 big", "00:05:00 other", "00:05:00 other",
     ]
     chat = [r.line for r in export.in_order(export.report(records, timeline.segments(records, items), items, "cutoff", chat=True)).collect()]
     assert chat[:5] == ["# Log Summary", "-# 1 player · 2 items used", "### Items used", "```text", "big    1"] and chat[-1] == "```"
