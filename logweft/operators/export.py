@@ -182,13 +182,12 @@ NOTHING = "No buff logs found."
 MODES = {"cutoff": ("Cutoff", "100+ attack only"), "scaled": ("Scaled", "Scaled by attack")}
 
 
-def report(records: DataFrame, segs: DataFrame, items: DataFrame, mode: str, chat: bool = False) -> DataFrame:
+def report(records: DataFrame, players: DataFrame, items: DataFrame, mode: str, chat: bool = False) -> DataFrame:
     """section, place, effective, logs, name and line of a plain report, or of the summary in front of chat messages; in_order() sorts it.
 
     Sections 4 and 9 are tables, 11 (plain only) has each player's block: an empty line, the player with the effect, and the
-    records by pos. Players are grouped as they stand, effects by trimmed name. Without records there is one line, NOTHING.
+    records by pos. Players are grouped as they stand; players has what timeline.by_player() gives. Without records there is one line, NOTHING.
     """
-    players = timeline.by_player(segs)
     n = records.agg(F.count_distinct("player").alias("players"), F.count_distinct("timestamp", "player", "item").alias("n"))
     fills = [texts.plural(F.col("players"), "player", "players"), F.col("n").cast("string"), *map(F.lit, MODES[mode])]
 
@@ -224,14 +223,16 @@ def in_order(lines: DataFrame) -> DataFrame:
     return lines.orderBy("section", by_effect, F.desc("effective"), F.desc("logs"), *texts.alphabetical(F.col("name")), "place")
 
 
-def chat(records: DataFrame, segs: DataFrame, items: DataFrame, mode: str, limit: int = LIMIT) -> DataFrame:
+def chat(records: DataFrame, items: DataFrame, mode: str, limit: int = LIMIT) -> DataFrame:
     """message (from 0) and text: the summary, then the players' blocks. Records have pos. Without records message 0 is NOTHING.
 
     The summary's text has a line for each player and item, as its table has; the other messages are of limit units at most, but for a line that is longer.
     """
-    lines = report(records, segs, items, mode, chat=True)
+    records = packing.pinned(records.select("ord", "player", "timestamp", "item", "pos"))
+    players = packing.pinned(timeline.by_player(timeline.segments(records, items, mode)))
+    lines = report(records, players, items, mode, chat=True)
     place = F.when(F.col("section") == 9, F.col("place")).otherwise(0)
     order = F.struct("section", place.alias("place"), (-F.col("effective")).alias("effective"), (-F.col("logs")).alias("logs"), *[c.alias(f"name_{k}") for k, c in enumerate(texts.alphabetical(F.col("name")))], "line")
     summary = lines.agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"])).alias("text")).select(F.lit(0).cast("long").alias("message"), "text")
-    rest = messages(player_blocks(records, timeline.by_player(segs), limit), limit)
+    rest = messages(player_blocks(records, players, limit), limit)
     return summary.unionByName(rest.select((F.col("message") + 1).alias("message"), "text"))

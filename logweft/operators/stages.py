@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +44,64 @@ class Stage:
         return spark.read.parquet(path), True
 
 
-def reachable(stages: list[tuple[str, str | None, str | None]]) -> list[str]:
-    """Names of (name, fingerprint of its input when computed, fingerprint now) up to the first that has drifted, it included."""
-    out = []
-    for name, then, now in stages:
-        out.append(name)
-        if then != now:
-            break
-    return out
+@dataclass(frozen=True)
+class Step:
+    """A stage of a chain: what it starts from and what it gives, as rows to be fingerprinted, and the session once it starts anew."""
+
+    name: str
+    initial: Callable[[Session], DataFrame]
+    output: Callable[[Session], DataFrame]
+    started: Callable[[Session], Session] = lambda session: session
+
+
+@dataclass(frozen=True)
+class Session:
+    """Tables and settings by name, with the fingerprints that each stage has started from and given, and the furthest stage entered."""
+
+    parts: dict[str, DataFrame]
+    initial: dict[str, str] = field(default_factory=dict)
+    given: dict[str, str] = field(default_factory=dict)
+    current: int = 0
+
+    def having(self, **parts: DataFrame) -> Session:
+        return replace(self, parts={**self.parts, **parts})
+
+
+def told(rows: DataFrame) -> str:
+    """The fingerprint of rows, over all their columns."""
+    got = fingerprint(rows, sorted(rows.columns)).first()
+    return f"{got.n}:{got.fingerprint}"
+
+
+class Chain:
+    """Stages in order. A stage that is entered starts anew only if what it starts from has changed since; whatever was changed by hand in it stays otherwise."""
+
+    def __init__(self, steps: list[Step]):
+        self.steps = steps
+
+    def entered(self, session: Session, target: int) -> Session:
+        """session with all stages up to target brought up to date, in order."""
+        for k, step in enumerate(self.steps[: target + 1] if target > 0 else []):
+            if k:
+                before = self.steps[k - 1]
+                session = replace(session, given={**session.given, before.name: told(before.output(session))})
+            now = told(step.initial(session))
+            if session.initial.get(step.name) != now:
+                session = step.started(replace(session, initial={**session.initial, step.name: now}))
+                session = replace(session, given={**session.given, step.name: told(step.output(session))})
+        return replace(session, current=max(session.current, target))
+
+    def reachable(self, session: Session) -> int:
+        """The furthest stage that may be entered: the one after the first whose output, or whose successor's start, is not what it was."""
+        last = len(self.steps) - 1
+        for k in range(session.current + 1):
+            step = self.steps[k]
+            if step.name in session.given and session.given[step.name] != told(step.output(session)):
+                return min(k + 1, last)
+            if k < last and self.steps[k + 1].name in session.initial and session.initial[self.steps[k + 1].name] != told(self.steps[k + 1].initial(session)):
+                return k + 1
+        return min(session.current + 1, last)
+
+    def forgotten(self, session: Session) -> Session:
+        """session after its pictures have changed: the first stage has to start anew, everything else is kept."""
+        return replace(session, initial={k: v for k, v in session.initial.items() if k != self.steps[0].name})

@@ -5,13 +5,16 @@ Events stand for use records, documents for image files and their crops, pages f
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweft.functions import pixels, texts, times
-from logweft.operators import assets, counts, export, glyphs, pictures, reading, review, stages, timeline
+from logweft.operators import assets, counts, export, glyphs, packing, pictures, reading, review, session, stages, timeline
+from logweft.sources.blobs import BlobStore, hydrated
 from logweft.sources.records import ITEMS, item_dimension, records, table
 
 QUERIES, SQL = {}, {}
@@ -386,9 +389,14 @@ def text_lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.concat(F.date_format("ts", "'['HH:mm:ss']'"), F.lit("user"), "user_id", F.lit(" used "), "event_type").alias("text"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly ahead of a map that takes long for each: a file is read by few tasks."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 @query("select event_id as ord, '[' || strftime(ts, '%H:%M:%S') || ']user' || user_id || ' used ' || event_type as text from events")
 def ocr_roundtrip(spark, sf_dir):
-    return reading.plain(glyphs.rendered(text_lines(spark, sf_dir), "ord", "text", CHARS), "ord", CHARS)
+    return reading.plain(glyphs.rendered(spread(text_lines(spark, sf_dir)), "ord", "text", CHARS), "ord", CHARS)
 
 
 def font_sql(charset: str, profiles: tuple[str, ...]) -> str:
@@ -575,12 +583,12 @@ def in_given_order(spark, sf_dir) -> DataFrame:
 
 @query(report_sql("cutoff", False))
 def plain_report(spark, sf_dir):
-    return export.report(in_given_order(spark, sf_dir), segs(spark, sf_dir), item_dimension(spark), timeline.CUTOFF)
+    return export.report(in_given_order(spark, sf_dir), timeline.by_player(segs(spark, sf_dir)), item_dimension(spark), timeline.CUTOFF)
 
 
 @query(report_sql("scaled", True))
 def chat_summary(spark, sf_dir):
-    return export.report(records(spark, sf_dir), segs(spark, sf_dir, timeline.SCALED), item_dimension(spark), timeline.SCALED, chat=True)
+    return export.report(records(spark, sf_dir), timeline.by_player(segs(spark, sf_dir, timeline.SCALED)), item_dimension(spark), timeline.SCALED, chat=True)
 
 
 @query(f"""with {font_sql(CHARS, ("",))}, t as (select event_id as ord, '[' || strftime(ts, '%H:%M:%S') || ']user' || user_id || ' used ' || event_type as text from events),
@@ -642,5 +650,71 @@ def ordered_sql() -> str:
 
 @query(chat_sql())
 def chat_messages(spark, sf_dir):
-    rows = timeline.ordered(records(spark, sf_dir), []).drop("sod", "day_offset")
-    return export.chat(rows, timeline.segments(rows, item_dimension(spark)), item_dimension(spark), timeline.CUTOFF)
+    return export.chat(timeline.ordered(records(spark, sf_dir), []), item_dimension(spark), timeline.CUTOFF)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{packing.shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+@query("""with v as (select doc_id, 'doc/' || doc_id as key, coalesce(text, '') as text from documents),
+  now as (select key, case when doc_id % 3 = 0 then text || ' again' else text end as text from v where doc_id % 5 <> 0)
+  select 'first' as version, key, sha256(text) as sha256 from v union all select 'last', key, sha256(text) from now""")
+def blob_versions(spark, sf_dir):
+    """Contents put, put again and deleted: the newest version, and the first as a reader keeps it that began before."""
+    store = BlobStore(spark, scratch(spark, "blobs"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    content = lambda text: F.encode(text, "UTF-8").alias("content")
+    first = store.at(store.put(rows.select("key", content(F.col("text")))))
+    store.put(rows.where("doc_id % 3 = 0").select("key", content(F.concat("text", F.lit(" again")))))
+    store.delete(rows.where("doc_id % 5 = 0").select("key"))
+    shown = lambda name, of: of.table().select(F.lit(name).alias("version"), "key", F.sha2("content", 256).alias("sha256"))
+    return shown("first", first).unionByName(shown("last", store))
+
+
+@query(f"""with {SHOTS} select path || '-' || index as slice_id, event_id // 39 % 2 = 0 as stored, case when event_id // 39 % 2 = 0 then clock end as timestamp from shown join shots using (path)
+  where reason is null and event_id % 11 not in (3, 5, 6, 7, 9)""")
+def restored_slices(spark, sf_dir):
+    """Lines whose pictures are in the store are read from it again; others have no content."""
+    found = pictures.bracketed(pictures.lines(shots(spark, sf_dir)))
+    store = BlobStore(spark, scratch(spark, "slices"))
+    even = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 2 == 0
+    store.put(pictures.stored_lines(found.where(even)))
+    slices_ = found.select(F.concat(F.lit("slice/"), "path", F.lit("-"), "index").alias("key"), F.concat_ws("-", "path", F.col("index").cast("string")).alias("slice_id"), "profile", F.lit(None).cast("string").alias("reason"))
+    read = reading.judged(reading.decoded(pictures.stored_columns(hydrated(slices_, "key", store)), ITEM_NAMES), F.col("slice_id"))
+    kept = read.where("status = 'accepted'").select("slice_id", F.lit(True).alias("stored"), "timestamp")
+    rest = hydrated(slices_, "key", store).where("content is null").select("slice_id", F.lit(False).alias("stored"), F.lit(None).cast("string").alias("timestamp"))
+    number = F.regexp_extract("slice_id", "shot_([0-9]+)", 1).cast("long") * 39 + F.regexp_extract("slice_id", "-([0-9]+)$", 1).cast("long") - 1
+    return kept.unionByName(rest.where(~(number % 11).isin(3, 5, 6, 7, 9)))
+
+
+SPLIT = "(select event_id, '[' || strftime(ts, '%H:%M:%S') || ']' as timestamp, 'user' || user_id as player, event_type as item from events)"
+
+
+def read_session(spark, sf_dir) -> stages.Session:
+    """A session of events as read lines of pictures."""
+    rows = records(spark, sf_dir)
+    shot = F.floor(F.col("ord") / 39)
+    pictures_ = rows.select(shot.alias("id")).distinct().select("id", F.lit("accepted").alias("status"), F.lit("active").alias("lifecycle"), F.sha2(F.col("id").cast("string"), 256).alias("checksum"))
+    lines = rows.select(F.col("source_slice_id").alias("slice_id"), shot.alias("image_id"))
+    refused = F.col("ord") % 7 == 3
+    read = rows.select("ord", F.col("source_slice_id").alias("slice_id"), F.lit("balanced").alias("mode"), F.when(refused, "rejected").otherwise("accepted").alias("status"), F.when(refused, "bad_time").alias("rejection_reason"),
+                       *[F.when(~refused, F.col(c)).alias(c) for c in session.COLUMNS])
+    return session.started(spark, packing.pinned(pictures_), packing.pinned(lines), packing.pinned(read))
+
+
+@query(f"""with r as {SPLIT}, b as (select * from r where event_id % 7 <> 3), u as (select distinct timestamp, player, item from b), e as (select distinct timestamp, case when player = 'user7' then 'someone' else player end as player, item from b)
+  select 'entered' as step, 4 as reachable, (select count(*) from u) as results union all select 'renamed', 3, (select count(*) from u) union all select 'back', 4, (select count(*) from u)
+  union all select 'mode', 1, (select count(*) from u) union all select 'results again', 4, (select count(*) from e)""")
+def stage_chain(spark, sf_dir):
+    """A session entered up to its export; then a player is renamed in cleanup, and back, the way of reading is changed, and the results are entered again."""
+    chain = session.chain()
+    all_in = chain.entered(read_session(spark, sf_dir), 4)
+    renamed = all_in.having(edits=review.renamed(session.base(all_in), "user7", "someone"))
+    steps = {"entered": all_in, "renamed": renamed, "back": renamed.having(edits=all_in.parts["edits"]), "mode": session.with_setting(all_in, "import_settings", mode="best"), "results again": chain.entered(renamed, 4)}
+    out = None
+    for name, state in steps.items():
+        row = state.parts["results"].agg(F.count("*").alias("results")).select(F.lit(name).alias("step"), F.lit(chain.reachable(state)).alias("reachable"), "results")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -183,12 +183,12 @@ def test_messages_equal_one_pass(spark, monkeypatch, run, limit):
 
 def test_report_in_order(spark, items):
     records = uses(spark, ("00:00:00", "big"), ("00:05:00", "other"), ("00:05:00", "other")).withColumn("pos", F.col("ord"))
-    lines = export.in_order(export.report(records, timeline.segments(records, items), items, "cutoff"))
+    lines = export.in_order(export.report(records, timeline.by_player(timeline.segments(records, items)), items, "cutoff"))
     assert [r.line for r in lines.collect()] == [
         "Log Summary", "1 player · 2 items used", "", "Items used", "big    1", "other  1", "", "Effective Apples (Cutoff)",
         "Player  Uses  Apples", "──────  ────  ──────", "A       1+2   (1.00)", "", "A · 3 uses (1.00)", "00:00:00 big", "00:05:00 other", "00:05:00 other",
     ]
-    chat = [r.line for r in export.in_order(export.report(records, timeline.segments(records, items), items, "cutoff", chat=True)).collect()]
+    chat = [r.line for r in export.in_order(export.report(records, timeline.by_player(timeline.segments(records, items)), items, "cutoff", chat=True)).collect()]
     assert chat[:5] == ["# Log Summary", "-# 1 player · 2 items used", "### Items used", "```text", "big    1"] and chat[-1] == "```"
     none = records.where("false")
-    assert [r.line for r in export.report(none, timeline.segments(none, items), items, "cutoff").collect()] == ["No buff logs found."]
+    assert [r.line for r in export.report(none, timeline.by_player(timeline.segments(none, items)), items, "cutoff").collect()] == ["No buff logs found."]
