@@ -122,20 +122,21 @@ def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, pe
     )
     ordered, ends = cut(ordered), cut(ends)
     running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for known in range(0, DIGITS, STEP):
-        inside = ordered.join(salted(ends), leaf).where(F.substring("place", 1, known) == F.col("prefix"))
-        if known and (most := inside.groupBy(*LEVELS).count().agg(F.max("count")).first()[0]) is not None and most <= SMALL:
-            break
-        sums = inside.groupBy(*LEVELS, "left_over", "before", F.substring("place", 1, known + STEP).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
+    # a round carries on only what lies in the bucket that its leaf's budget ends in
+    inside = ordered
+    for known in range(STEP, DIGITS + 1, STEP):
+        sums = inside.groupBy(*LEVELS, F.substring("place", 1, known).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
         upto = F.col("before") + F.sum("tokens").over(running)
         ends = cut(
-            sums.withColumn("upto", upto).withColumn("begins", F.col("upto") - F.col("tokens"))
-            .where("begins < left_over and upto >= left_over").select(*LEVELS, "left_over", F.col("bucket").alias("prefix"), F.col("begins").alias("before"))
+            sums.join(ends.select(*LEVELS, "left_over", "before"), list(LEVELS)).withColumn("upto", upto).withColumn("begins", F.col("upto") - F.col("tokens"))
+            .where("begins < left_over and upto >= left_over").select(*LEVELS, "left_over", F.col("bucket").alias("prefix"), F.col("begins").alias("before"), "rows")
         )
-    inside = (
-        ordered.join(salted(ends), leaf).where(F.col("place").startswith(F.col("prefix")))
-        .groupBy(*LEVELS, "left_over", "before", "place").agg(F.sum("n_tokens").alias("tokens"))
-    )
+        inside = inside.join(salted(ends.select(*LEVELS, "prefix")), leaf).where(F.substring("place", 1, known) == F.col("prefix")).drop("prefix")
+        most = ends.agg(F.max("rows")).first()[0]
+        if most is None or most <= SMALL:
+            break
+        inside = cut(inside)
+    inside = inside.groupBy(*LEVELS, "place").agg(F.sum("n_tokens").alias("tokens")).join(ends, list(LEVELS))
     earlier = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     cut_off = (
         inside.withColumn("upto", F.col("before") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
@@ -161,8 +162,8 @@ def copies(rows: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixture(documents: DataFrame, **parameters) -> DataFrame:
-    """doc_id, its leaf and tokens, its leaf's budget, and how many copies of it are taken, for each row."""
-    rows = narrow(documents)
+    """doc_id, its leaf and tokens, its leaf's budget, and how many copies of it are taken, for each row. Texts are read once."""
+    rows = cut(narrow(documents))
     return copies(rows, plan(rows, **parameters)).select("doc_id", *LEVELS, "n_tokens", "budget", "copies")
 
 
@@ -173,7 +174,7 @@ def take(documents: DataFrame, **parameters) -> DataFrame:
         F.col("doc_id"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         n_tokens(F.col("text")).alias("n_tokens"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(inner),
     )
-    taken = copies(rows, plan(narrow(documents), **parameters)).where("copies > 0")
+    taken = copies(rows, plan(cut(narrow(documents)), **parameters)).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(f"{inner}.*")
 
 
