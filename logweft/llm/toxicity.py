@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 Learning, on a bounded sample of labelled rows: the counts in toxic and in other documents of each token that SEEN documents hold give
-log-odds with a Dirichlet prior of PRIOR for each token, shared out as the pooled counts are, so that no evidence gives odds of 0. A token that was hardly seen falls
+log-odds with a Dirichlet prior of PRIOR for each token, shared out as the pooled counts are, so that no evidence gives odds of 0. A token that was hardly seen, or says little, falls
 back on its first five letters, which are counted the same way. DRIFT is taken off each score, so that ordinary text has
 a falling sum.
 
@@ -26,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from logweft.llm.common import cut, filter_texts, in_slices, labelled_sample, map_texts, split_by_crc
 
-#: Labelled documents that the model may be fitted on. It has every token that SEEN of them hold.
-SAMPLE = 20_000
+#: Labelled documents that the model may be fitted on. It has every token that SEEN of them hold and whose log-odds times count come to EVIDENCE.
+SAMPLE, EVIDENCE = 20_000, 12.0
 #: DRIFT is the one of 0.5 to 3.2 with the least loss on learnable rows left out of a fit (residue 0 of doc_id's crc32 modulo 4, fitted on 1 and 3).
 PRIOR, DRIFT, STEM, SEEN = 1.0, 3.2, 5, 4
 SIGNIFICANT, TAIL = 0.01, 0.01
@@ -71,8 +71,7 @@ class Model:
     def together(self, sums: list[float], n: int) -> float:
         """The square root of what all segments exceed the usual by; or if none does, how near the best one comes."""
         over = [x for x in (self.normal(s, n) for s in sums) if x > 0]
-        total = sum(over) if over else self.normal(max(sums, default=0.0), n)
-        return total if total <= 0 else math.sqrt(total)
+        return math.sqrt(sum(over)) if over else min(0.0, self.normal(max(sums, default=0.0), n))
 
     def chance(self, best: float, n: int) -> float:
         """Probability that ordinary text of n tokens has such a segment."""
@@ -131,14 +130,16 @@ def token_counts(sample: DataFrame) -> DataFrame:
 def calibrated(usual: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
     """lambda and log K from the best segments of ordinary texts and the logarithms of their numbers of tokens."""
     rate = float(np.clip(np.pi / math.sqrt(6) / max(usual.std(), 1e-6), 0.2, 5.0))
-    # P(rate * best - log n - log K > x) = 1 - exp(-exp(-x)) is set right at its tail
-    return rate, float(np.quantile(rate * usual - sizes, 1 - TAIL)) + math.log(-math.log1p(-TAIL))
+    # P(rate * best - log n - log K > x) = 1 - exp(-exp(-x)) is set right at its tail; texts without any segment can't exceed it, however short they are
+    reached = np.sort((rate * usual - sizes)[usual > 0])[::-1]
+    tail = float(reached[min(len(reached) - 1, int(TAIL * len(usual)))]) if len(reached) else 0.0
+    return rate, tail + math.log(-math.log1p(-TAIL))
 
 
 def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Model:
     """The model of at most SAMPLE labelled rows; learnable: a condition on label rows.
 
-    The sample is written once. The driver gets the tokens that SEEN of its documents hold and, twice, two or three numbers a document.
+    The sample is written once. The driver gets its tokens of enough evidence, and the sums of its documents' segments.
     """
     sample = cut(labelled_sample(documents, labels, "toxic", F.lit(True) if learnable is None else learnable, SAMPLE))
     of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
@@ -148,14 +149,14 @@ def fit(documents: DataFrame, labels: DataFrame, learnable=None) -> Model:
         return Model()
     a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
     odds = F.log((F.col("toxic") + a1) / (n1 + a1)) - F.log((F.col("plain") + a0) / (n0 + a0))
-    told = counted.where(F.col("docs") >= SEEN).select("token", odds.alias("odds")).toArrow()
+    says = F.abs(F.col("odds")) * (F.col("toxic") + F.col("plain")) >= EVIDENCE
+    told = counted.where(F.col("docs") >= SEEN).withColumn("odds", odds).where(says).select("token", "odds").toArrow()
     model = Model(dict(zip(told["token"].to_pylist(), (told["odds"].to_numpy() - DRIFT).tolist())))
-    found = measured(sample, ("label",), model).select("label", "best", "n_words").toArrow()
-    label, best = found["label"].to_numpy() > 0, found["best"].to_numpy()
-    usual, sizes = best[~label], np.log(np.maximum(found["n_words"].to_numpy()[~label], 1))
-    model.rate, model.log_k = calibrated(usual, sizes)
-    found = measured(sample, ("label",), model).select("label", "together").toArrow()
-    model.slope, model.offset = logistic(found["together"].to_numpy(), (found["label"].to_numpy() > 0).astype(float))
+    found = measured(sample, ("label",), model).toArrow()
+    label, sizes, sums = found["label"].to_numpy() > 0, found["n_words"].to_numpy(), found["sums"].to_pylist()
+    best = np.array([max(x, default=0.0) for x in sums])
+    model.rate, model.log_k = calibrated(best[~label], np.log(np.maximum(sizes[~label], 1)))
+    model.slope, model.offset = logistic(np.array([model.together(x, n) for x, n in zip(sums, sizes.tolist())]), label.astype(float))
     return model
 
 
@@ -176,7 +177,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Scorer(dict):
     """Word as it stands to score."""
 
-    def __init__(self, model: Model, most: int = 100_000):
+    def __init__(self, model: Model, most: int = 50_000):
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
@@ -186,7 +187,7 @@ class Scorer(dict):
         return got
 
 
-MEASURES = [StructField("best", DoubleType()), StructField("together", DoubleType()), StructField("n_words", LongType())]
+MEASURES = [StructField("sums", ArrayType(DoubleType())), StructField("n_words", LongType())]
 SCORES = [
     StructField("score", DoubleType()),
     StructField("p_value", DoubleType()),
@@ -196,20 +197,15 @@ SCORES = [
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...], model: Model) -> DataFrame:
-    """keep, then the best segment's sum, what all segments come to together, and the number of words."""
+    """keep, then the sums of all maximal segments, and the number of words."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         of = Scorer(held.value)
 
         def work(texts: list[str]) -> list[list]:
-            out: list[list] = [[], [], []]
-            for text in texts:
-                scores = list(map(of.__getitem__, text.split()))
-                sums = [x[2] for x in segments(scores)]
-                for column, value in zip(out, (max(sums, default=0.0), held.value.together(sums, len(scores)), len(scores))):
-                    column.append(value)
-            return out
+            found = [list(map(of.__getitem__, text.split())) for text in texts]
+            return [[[x[2] for x in segments(scores)] for scores in found], list(map(len, found))]
 
         return work
 
