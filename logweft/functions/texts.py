@@ -93,3 +93,8 @@ def compact(value: Column) -> Column:
 def same_glyphs(text: Column) -> Column:
     """Text with glyphs that look alike put as one: two apostrophes as a quote, l as I."""
     return F.replace(F.replace(text, F.lit("''"), F.lit('"')), F.lit("l"), F.lit("I"))
+
+
+def unique_chars(text: Column) -> Column:
+    """The characters of text, each where it comes first."""
+    return F.array_join(F.array_distinct(F.split(text, "")), "")

@@ -29,6 +29,26 @@ def normalized(text: Column) -> Column:
     return F.when(text.rlike(ANY_TIME), F.concat(F.lit("["), F.concat_ws(":", *parts), F.lit("]"))).otherwise("")
 
 
+TYPED = r"\[?(\d{0,2}):(\d{0,2}):(\d{0,2})\]?"
+
+
+def typed(text: Column) -> Column:
+    """hh, mm and ss of a time that is being typed: none to two digits each; empty if there is none."""
+    return F.struct(*[F.regexp_extract(F.coalesce(text, F.lit("")), TYPED, k).alias(n) for k, n in ((1, "hh"), (2, "mm"), (3, "ss"))])
+
+
+def pasted(text: Column) -> Column:
+    """'[HH:MM:SS]' of the first three groups of one or two digits in text, whatever stands between them; null if there are fewer."""
+    groups = F.regexp_extract_all(text, F.lit(r"(\d{1,2})"), 1)
+    whole = F.concat(F.lit("["), F.array_join(F.transform(F.slice(groups, 1, 3), lambda g: F.lpad(g, 2, "0")), ":"), F.lit("]"))
+    return F.when(F.size(groups) >= 3, whole)
+
+
+def date_time(at: Column) -> Column:
+    """'YYYY-MM-DD HH:MM' in the session's time zone."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
 def is_complete(text: Column) -> Column:
     """Whether text is '[HH:MM:SS]' in range."""
     h, m, s = (part(text, WHOLE_TIME, k) for k in (1, 2, 3))

@@ -80,6 +80,12 @@ def of_active(slices: DataFrame, images: DataFrame) -> DataFrame:
     return slices.join(active(images).select(F.col("id").alias("image_id")), "image_id", "left_semi")
 
 
+def whole_rect(left: Column, top: Column, width: Column, height: Column) -> Column:
+    """A rectangle in whole pixels: fractions are cut off, and it has a pixel at least."""
+    cut = lambda c: c.cast("int")
+    return F.struct(cut(left).alias("left"), cut(top).alias("top"), F.greatest(F.lit(1), cut(width)).alias("width"), F.greatest(F.lit(1), cut(height)).alias("height"))
+
+
 def line_grid(frames: DataFrame, lines: int = LINES) -> DataFrame:
     """A row for each line of each frame (image_id, left, bottom): slice_id, index from the top, display_id from the bottom, rectangle."""
     k = F.col("k")

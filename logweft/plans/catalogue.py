@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from logweft.functions import pixels, texts, times
 from logweft.operators import assets, counts, export, glyphs, packing, pictures, reading, review, session, stages, timeline
 from logweft.sources.blobs import BlobStore, hydrated
-from logweft.sources.records import ITEMS, item_dimension, records, table
+from logweft.sources.records import ITEMS, golden, item_dimension, records, sessions, table
 
 QUERIES, SQL = {}, {}
 
@@ -525,7 +525,7 @@ def pixel_scalars(spark, sf_dir):
 @query("""select event_id, case when event_id % 4 = 0 then (event_id // 4)::varchar when event_id % 2 = 0 then (event_id // 4) || '.5' else (event_id // 4) || case event_id % 4 when 1 then '.25' else '.75' end end || '×' as compact,
   replace(replace(event_type || chr(39) || chr(39), chr(39) || chr(39), '"'), 'l', 'I') as alike,
   case when event_id % 9 = 0 then '0.00' else '-' || (event_id * 7 // 8)::varchar || '.' || lpad((((event_id * 7 % 8) * 250 + 10) // 20)::varchar, 2, '0') end as delta,
-  case when event_id < 1024 then event_id || ' B' when event_id < 1048576 then printf('%.1f KB', event_id / 1024.0) else printf('%.1f MB', event_id / 1048576.0) end as size from events""")
+  case when event_id < 1024 then event_id || ' B' when event_id < 1048576 then printf('%.1f KB', floor(event_id / 1024.0 * 10 + 0.5) / 10) else printf('%.1f MB', floor(event_id / 1048576.0 * 10 + 0.5) / 10) end as size from events""")
 def label_scalars(spark, sf_dir):
     n = F.col("event_id")
     lost = F.when(n % 9 == 0, 0.0).otherwise(n * 7 / 8)
@@ -718,3 +718,57 @@ def stage_chain(spark, sf_dir):
         row = state.parts["results"].agg(F.count("*").alias("results")).select(F.lit(name).alias("step"), F.lit(chain.reachable(state)).alias("reachable"), "results")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("""with v as (select event_id, ts, (event_id % 24)::varchar as h, (event_id % 61)::varchar as m, event_type, user_id from events)
+  select event_id, case event_id % 3 when 0 then '[' || lpad(h, 2, '0') || ':' || lpad(m, 2, '0') || ':07]' end as pasted, case event_id % 3 when 1 then h || ',' || m || ',' else ',,' end as typed, strftime(ts, '%Y-%m-%d %H:%M') as at,
+    (select string_agg(c, '' order by k) from (select c, min(k) as k from (select unnest(string_split(event_type, '')) as c, generate_subscripts(string_split(event_type, ''), 1) as k) group by 1)) as chars,
+    trunc((event_id - 50) / 4.0)::int || ',' || greatest(1, trunc((event_id % 9 - 4) / 2.0)::int) as rect from v""")
+def entry_scalars(spark, sf_dir):
+    """Times as they are typed and pasted, dates, characters that occur, rectangles in whole pixels."""
+    n = F.col("event_id")
+    h, m = (n % 24).cast("string"), (n % 61).cast("string")
+    text = F.when(n % 3 == 0, F.concat(F.lit("at "), h, F.lit("h"), m, F.lit("m 7s 99"))).when(n % 3 == 1, F.concat(F.lit("["), h, F.lit(":"), m, F.lit(":"))).otherwise("7 8")
+    v = table(spark, sf_dir, "events").withColumn("text", text).withColumn("part", times.typed(F.col("text")))
+    rect = assets.whole_rect((n - 50) / 4, n / 3, (n % 9 - 4) / 2, n / 2)
+    return v.select("event_id", times.pasted(F.col("text")).alias("pasted"), F.concat_ws(",", "part.hh", "part.mm", "part.ss").alias("typed"), times.date_time(F.col("ts")).alias("at"), texts.unique_chars(F.col("event_type")).alias("chars"),
+                    F.concat_ws(",", rect["left"].cast("string"), rect["width"].cast("string")).alias("rect"))
+
+
+@query("""select 's' || page_id as id, case when page_id % 4 = 1 then 'best' else 'balanced' end as mode, case when page_id % 4 = 1 then 2 else 0 end as images, case when page_id % 4 = 2 then 1 else 0 end as deleted, false as corrupt from pages where page_id % 4 <> 3
+  union all select null, 'balanced', 0, 0, true from pages where page_id % 4 = 3""")
+def stored_sessions(spark, sf_dir):
+    """Saved sessions, with parts missing and with lines that are no JSON."""
+    k, path = F.col("page_id") % 4, scratch(spark, "sessions")
+    head = F.concat(F.lit('{"id":"s'), "page_id", F.lit('"'))
+    line = F.when(k == 0, F.concat(head, F.lit("}"))).when(k == 1, F.concat(head, F.lit(',"mode":"best","images":[{"id":1,"status":"accepted"},{"id":2,"status":"rejected"}]}'))).when(k == 2, F.concat(head, F.lit(',"deletedRecordIds":["r"]}'))).otherwise("no json")
+    table(spark, sf_dir, "pages").select(line.alias("value")).write.text(path)
+    return sessions(spark, path).select("id", "mode", F.size("images").alias("images"), F.size("deletedRecordIds").alias("deleted"), "corrupt")
+
+
+@query("""select 'line_' || event_id as id, event_type as text from events where event_id % 5 not in (2, 4)""")
+def golden_entries(spark, sf_dir):
+    """Expected texts from documents of entries, a file each, some without an id or a text."""
+    path, k = scratch(spark, "golden"), F.col("event_id") % 5
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("document"), F.struct(F.when(k != 2, F.concat(F.lit("line_"), "event_id")).alias("id"), F.when(k != 4, F.col("event_type")).alias("text")).alias("e"))
+    rows.groupBy("document").agg(F.collect_list("e").alias("results")).select("document", F.to_json(F.struct(F.lit(1).alias("version"), "results")).alias("value")).write.partitionBy("document").text(path)
+    return golden(spark, path).select("id", "text")
+
+
+@query("select count(*) as expected, count(*) filter (event_id % 10 <> 4) as decoded, count(*) filter (event_id % 10 not in (3, 4)) as matches, count(*) filter (event_id % 10 = 3) as diffs, count(*) filter (event_id % 10 = 4) as errors from events")
+def reading_benchmark(spark, sf_dir):
+    """How much of what is written is read as it stands; one line in ten has another text, one can't be read."""
+    written = spread(text_lines(spark, sf_dir))
+    spoilt = written.withColumn("text", F.when(F.col("ord") % 10 == 3, F.concat("text", F.lit("x"))).when(F.col("ord") % 10 == 4, F.concat("text", F.lit("Q"))).otherwise(F.col("text")))
+    lines = glyphs.rendered(spoilt, "ord", "text", CHARS + "Q")
+    return reading.compared(written, reading.plain(lines, "ord", CHARS), "ord")
+
+
+@query(f"with {REC} select player as label, count(*) as n, true as first, false as again from rec group by 1")
+def stage_kept(spark, sf_dir):
+    """A stage that is computed once: refreshed again with the same rows in another order, it is read back."""
+    stage = stages.Stage("count", scratch(spark, "stages"), lambda rows: counts.count_by(rows, F.col("player")))
+    rows = records(spark, sf_dir).select("ord", "player")
+    _, first = stage.refreshed(spark, rows)
+    kept, again = stage.refreshed(spark, rows.orderBy(F.desc("ord")))
+    return kept.select("label", "n", F.lit(first).alias("first"), F.lit(again).alias("again"))

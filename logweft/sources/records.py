@@ -41,3 +41,10 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("images", F.array().cast("array<struct<id:int,status:string>>")).alias("images"),
         F.coalesce("deletedRecordIds", F.array().cast("array<string>")).alias("deletedRecordIds"), F.col("_corrupt").isNotNull().alias("corrupt"),
     )
+
+
+def golden(spark: SparkSession, path: str) -> DataFrame:
+    """id and text of the entries of expected-text documents (JSON); entries without an id or a text are left out, as are documents that are no JSON."""
+    entry = "struct<id:string,text:string,start_x:int,end_x:int>"
+    raw = spark.read.schema(f"version int, start_x int, end_x int, results array<{entry}>").option("multiLine", "true").json(path)
+    return raw.select(F.explode("results").alias("e")).select("e.*").where("id is not null and text is not null")
