@@ -201,3 +201,22 @@ def test_bounds_save_distances():
         kept = codes.unpacked(codes.packed([bounds] * codes.PARTS))[0]
         bounds = codes.Bounds(kept.near, kept.upper, kept.lower)
     assert scanned[0] == 16 * len(x) and scanned[-1] < scanned[0] / 4
+
+
+def test_awkward_pages_and_encodings(spark):
+    """Operators behind the queries on nulls, empty, repeated and very long pages and texts, clashing names, and empty tables."""
+    from logweft.llm import media, piece_bpe, queries
+
+    schema = "page_id long, html string, pos int, kind string, digest string, text string"
+    rows = [(1, None, 9, "k", "d", "t"), (2, "", 9, "k", "d", "t"), (3, "<p>a</p><img src=sha256:ab alt=x>", 9, "k", "d", "t"), (3, "<p>a</p><img src=sha256:ab alt=x>", 9, "k", "d", "t"), (None, "b", 9, "k", "d", "t"), (4, "<p>" + "w " * 50_000, 9, "k", "d", "t")]
+    pages = spark.createDataFrame(rows, schema)
+    store = media.described(media.stored(spark.createDataFrame([("ab", "text")], "digest string, text string"), "digest"), "digest")
+    found = media.items(pages, "page_id")
+    assert Counter((r.page_id, r.kind) for r in found.collect()) == {(3, "text"): 2, (3, "image"): 2, (None, "text"): 1, (4, "text"): 1}
+    put = {r.page_id: r.sequence for r in media.sequences(media.resolved(found, store), "page_id").collect()}
+    assert [i.payload_bytes for i in put[3]] == [None, None, 192, 192] and len(put[4][0].text) >= 99_999 and put[None][0].text == "b"
+    assert media.sequences(media.resolved(media.items(pages.limit(0), "page_id"), store), "page_id").collect() == []
+    docs = awkward(spark).withColumn("ids", F.lit("i")).withColumn("decoded", F.lit("d"))
+    got = piece_bpe.encode(docs, queries.piece_model(), ("doc_id",)).collect()
+    assert len(got) == 7 and [len(r.ids) for r in got if r.doc_id in (1, 2)] == [1, 1] and len({tuple(r.ids) for r in got if r.doc_id == 3}) == 1
+    assert piece_bpe.encode(docs.limit(0), queries.piece_model()).collect() == []
