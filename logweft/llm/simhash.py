@@ -11,9 +11,9 @@ the remaining bits and all their one-bit changes, and is linked to the least fin
 fingerprints share an entry just if they differ in at most two bits, so components are the same, in linear size.
 
 Near copies that share four fifths of their shingles differ in more bits than blocks of 64 can find, so keep_one(),
-which leaves one document of each group, takes 256-bit fingerprints of distinct five-word shingles. They differ in about 38 bits,
-and blocks of bytes that such pairs share would be so short that they grow with the square of the corpus; so blocks are bands of the
-shingles' least values, shared by how alike the sets are. Pairs of a block that the fingerprints allow are compared shingle by shingle.
+which leaves one document of each group, takes 256-bit fingerprints of distinct five-word shingles. They differ in about 39 bits,
+so blocks are short (8 bits, and a bit more each time the nodes double beyond 256,000) and many, and in each block the fingerprints are
+compared with one another. What is within WIDE_BITS bits there is then compared shingle by shingle.
 
 Null text counts as empty. A null doc_id gets a fingerprint and a component but is never the component's id (which is
 null if no other id is there). Repeated rows give repeated rows. An empty table gives an empty result.
@@ -21,6 +21,7 @@ null if no other id is there). Repeated rows give repeated rows. An empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -101,10 +102,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
 #: Wide fingerprints: 64-bit words, blocks of bytes, and bits that candidates may differ in. Two texts whose distinct
 #: shingles are alike to 0.8 differ in about 38 of 256 bits (deviation 6), whatever the edit; unrelated ones in 128 (deviation 8).
 WORDS, BLOCKS, WIDE_BITS = 4, 48, 72
-#: Words of a near copy's shingles, and bands of least values with values to a band: texts alike to 0.8 share a band with probability 0.999.
-NEAR_SHINGLE, BANDS, BAND = 5, 24, 6
-#: Shingles whose values for all bands are in memory at one time.
-SHINGLES_AT_ONCE = 2048
+#: Words of a near copy's shingles, the share of bits in which texts alike to 0.8 differ, and the share of such pairs that may have no block in common.
+NEAR_SHINGLE, DIFFERING, MISSED = 5, 0.1515, 5e-5
+#: Bits of a block at least, and nodes that it holds on average at most: beyond that it has more bits, and there are more blocks.
+BLOCK_BITS, BLOCK_NODES = 8, 1000
+#: Nodes of a block that are compared with as many others in a task, and fingerprints of them at one time.
+SLICE, PRINTS_AT_ONCE = 4000, 128
 #: Bytes of a block, as offsets from its number; the later blocks, numbered from 8 * WORDS, have the second kind.
 STEPS = ((0, 5, 13), (0, 3, 14))
 #: Rounds that link members of a block to a centre, and nodes to a side of a page in which the pairs that are left are compared.
@@ -113,10 +116,6 @@ CENTRES, PAGE = 4, 1000
 MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-#: Fixed odd multipliers that make a hash's values for the bands.
-BAND_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"band", k) | 1 for k in range(BANDS * BAND)], dtype="<u8")
-
-
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of each shingle, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -127,10 +126,12 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def wide_bits(hashes: np.ndarray) -> list[int]:
+    """A bit is 1 if it is set in over half of the hashes; where just half have it, it is as in the first."""
     mixed = hashes[:, None] * np.array(MULTIPLIERS, dtype="<u8")
     mixed ^= mixed >> np.uint64(29)
-    ones = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
+    bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+    ones = 2 * sum((bits[at : at + 255].sum(0, dtype=np.uint8).astype(np.int64) for at in range(0, len(bits), 255)), np.zeros(64 * WORDS, dtype=np.int64))
+    return np.packbits((ones > len(hashes)) | ((ones == len(hashes)) & bits[:1].any(0)), bitorder="little").view("<i8").tolist()
 
 
 def wide_fingerprint(text: str, shingle: int = SHINGLE) -> list[int]:
@@ -138,20 +139,30 @@ def wide_fingerprint(text: str, shingle: int = SHINGLE) -> list[int]:
     return wide_bits(shingle_hashes(text, shingle))
 
 
-def sketch(text: str) -> tuple[int, list[int], list[int]]:
-    """A node for the set of a text's distinct shingles of NEAR_SHINGLE words, the set's wide fingerprint, and its bands (none without words)."""
+def sketch(text: str) -> tuple[int, list[int]]:
+    """A node for the set of a text's distinct shingles of NEAR_SHINGLE words, and the set's wide fingerprint."""
     hashes = np.unique(shingle_hashes(text, NEAR_SHINGLE))
-    node = int(np.array(xxhash.xxh64_intdigest(hashes.tobytes()), dtype="<u8").view("<i8"))
-    if not len(hashes):
-        return node, wide_bits(hashes), []
-    least = np.full(len(BAND_MULTIPLIERS), 2**64 - 1, dtype="<u8")
-    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-        values = BAND_MULTIPLIERS[:, None] * hashes[None, at : at + SHINGLES_AT_ONCE]
-        values ^= values >> np.uint64(29)
-        values *= BAND_MULTIPLIERS[::-1, None]
-        np.minimum(least, values.min(1), out=least)
-    bands = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND))], dtype="<u8")
-    return node, wide_bits(hashes), bands.view("<i8").tolist()
+    return int(np.array(xxhash.xxh64_intdigest(hashes.tobytes()), dtype="<u8").view("<i8")), wide_bits(hashes)
+
+
+def block_masks(n: int) -> list[list[int]]:
+    """The bits of each block for n nodes, as masks of the fingerprint's words.
+
+    Blocks are cut from the bits in a fixed random order, and from further orders once one is used up. There are so many that pairs
+    that differ in each bit with probability DIFFERING have none in common with probability MISSED.
+    """
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(n, 1) / BLOCK_NODES)))
+    most = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFERING) ** bits)))
+    masks: list[list[int]] = []
+    for turn in range(most):
+        order = sorted(range(64 * WORDS), key=lambda bit: xxhash.xxh64_intdigest(bit.to_bytes(2, "little"), turn))
+        for at in range(0, len(order) - bits + 1, bits):
+            chosen = np.zeros(64 * WORDS, dtype=np.uint8)
+            chosen[order[at : at + bits]] = 1
+            masks.append(np.packbits(chosen, bitorder="little").view("<i8").tolist())
+        if len(masks) >= most:
+            break
+    return masks[:most]
 
 
 def block_bytes(t: int) -> tuple[int, ...]:
@@ -177,13 +188,16 @@ def page_links(x: pd.DataFrame, y: pd.DataFrame, bits: int) -> pd.DataFrame:
     found: list[tuple[int, int]] = []
     if len(x) and len(y):
         fp = np.array(y["fp"].tolist(), dtype="<i8").view("<u8")
-        keys, node, label = np.array(y["keys"].tolist(), dtype="<i8"), y["node"].to_numpy(), y["label"].to_numpy()
+        key, node, label = x["key"].iloc[0], y["node"].to_numpy(), y["label"].to_numpy()
+        keys, of = np.concatenate(y["keys"].tolist()), np.repeat(np.arange(len(y)), [len(k) for k in y["keys"]])
         inside, sets = ~y["other"].to_numpy(dtype=bool), [np.asarray(s, dtype="<i8") for s in y["set"]]
         size = np.array([len(s) for s in sets])
         for n, f, k, own, s in zip(x["node"], x["fp"], x["keys"], x["label"], x["set"]):
-            first = int(np.flatnonzero(np.asarray(k) == x["key"].iloc[0])[0])
             far = np.bitwise_count(fp ^ np.asarray(f, dtype="<i8").view("<u8")).sum(1) > bits
-            near = np.flatnonzero(~far & (label != own) & (inside | (node > n)) & ~(keys[:, :first] == np.asarray(k)[:first]).any(1))
+            near = ~far & (label != own) & (inside | (node > n))
+            if near.any():  # not those that share a lesser key, whose block compares them
+                near[of[np.isin(keys, [other for other in k if other < key])]] = False
+            near = np.flatnonzero(near)
             if size.any() and len(near):
                 own_set, flat = np.sort(np.asarray(s, dtype="<i8")), np.concatenate([sets[j] for j in near])
                 at = np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)
@@ -203,7 +217,7 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     In each block the node that meets most others in all blocks (the least of them) is linked to those near it, then the
     first of those near no earlier centre to all others near it, while over BLOCK_PAIRS are near no centre, as long as a round gives as many links as it has centres, and for at most
     CENTRES rounds. (Rounds only spare comparisons: what they leave is compared all the same.) The stars of all blocks make components. Only pairs of different components can still change the groups, so these pairs of a block are compared, in pages of about PAGE by PAGE
-    nodes, each pair in the first block that it shares; blocks that lie in one component, however large, need none. A page gives
+    nodes, each pair in the block of the least key that it shares; blocks that lie in one component, however large, need none. A page gives
     its links alone. In the worst case (a block of many texts that are nearly, but not quite, alike) that is a comparison for each pair of a block.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
@@ -235,8 +249,8 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     labels = components(contracted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).select("node", "label")
     members = cut(members.select("key", "node", "fp").join(labels, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")))
     of = members.select("node", "label").distinct()
-    # the others of a block: those outside the component of its least label; blocks of one component have none
-    sizes = members.groupBy("key").agg(F.min("label").alias("own"), F.max("label").alias("last"), F.count("*").alias("n")).where("own <> last")
+    # the others of a block: those outside the component of its least label; blocks of one component have none, and of two nodes one was the other's centre
+    sizes = members.groupBy("key").agg(F.min("label").alias("own"), F.max("label").alias("last"), F.count("*").alias("n")).where("own <> last and n > 2")
     members = members.join(sizes.select("key", "own", F.ceil(F.col("n") / PAGE).alias("wide")), "key").withColumn("other", F.col("label") != F.col("own"))
     members = members.join(members.where("other").groupBy("key").agg(F.ceil(F.count("*") / PAGE).alias("high")), "key")
     whole = members.join(nodes.select("node", "keys"), "node")
@@ -259,19 +273,69 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     return cut(every_node.join(upper, F.col("label") == F.col("own"), "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which each of the fingerprints x (a column each) differs from each of y."""
+    return sum((np.bitwise_count(a[:, None] ^ b) for a, b in zip(x, y)), np.zeros((1, 1), dtype=np.uint16))
+
+
+def near_in_slice(page: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Those nodes of a page that differ from another one of it in at most so many bits, each with a number of the nodes that such steps reach.
+
+    The same nodes have the same number in every block. In a block of several slices, where steps may lead through other pages, it is the block's key.
+    """
+    prints = page[[f"w{w}" for w in range(WORDS)]].to_numpy().astype("<i8").view("<u8").T.copy()
+    found = np.zeros(len(page), dtype=bool)
+    for at in range(0, len(page), PRINTS_AT_ONCE):
+        near = bits_apart(prints[:, at : at + PRINTS_AT_ONCE], prints[:, at:]) <= bits
+        np.fill_diagonal(near, False)
+        found[at : at + PRINTS_AT_ONCE] |= near.any(1)
+        found[at:] |= near.any(0)
+    page, prints = page[found], prints[:, found]
+    node, group = page["node"].to_numpy(), page["key"].to_numpy().copy()
+    free = np.arange(len(page) if len(page) and page["slices"].iloc[0] == 1 else 0)
+    while len(free):
+        reached, free = free[:1], free[1:]
+        done = 0
+        while done < len(reached):
+            near = (bits_apart(prints[:, reached[done : done + PRINTS_AT_ONCE]], prints[:, free]) <= bits).any(0)
+            done = min(done + PRINTS_AT_ONCE, len(reached))
+            reached, free = np.concatenate([reached, free[near]]), free[~near]
+        group[reached] = np.array(xxhash.xxh64_intdigest(np.sort(node[reached]).tobytes()), dtype="<u8").view("<i8")
+    return pd.DataFrame({"node": node, "block": group})
+
+
+def near_blocks(nodes: DataFrame) -> DataFrame:
+    """(node, blocks) of the nodes (node, fp) that agree with another one in a whole block of the fingerprint and differ from it in at most WIDE_BITS bits.
+
+    Any two such nodes have a number among their blocks in common. Of a block of up to SLICE nodes only those that are joined by such steps
+    stay together, and the same nodes in other blocks are the same; of a larger one, whose slices are compared two by two, all that are near any other.
+    """
+    words = [F.col("fp")[w].alias(f"w{w}") for w in range(WORDS)]
+    keys = [F.xxhash64(F.lit(t), *[F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for t, mask in enumerate(block_masks(nodes.count()))]
+    placed = nodes.select("node", *words, F.explode(F.array(*keys)).alias("key"))
+    large = placed.groupBy("key").agg(F.ceil(F.count("*") / SLICE).alias("slices")).where("slices > 1")
+    # a row of large stands for more than SLICE rows
+    sliced = placed.join(F.broadcast(large), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    sliced = sliced.withColumn("own", F.pmod(F.xxhash64("node"), "slices")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    pages = sliced.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other")
+    bits = WIDE_BITS
+    found = pages.groupBy("key", "low", "high").applyInPandas(lambda page: near_in_slice(page, bits), "node bigint, block bigint")
+    return found.groupBy("node").agg(F.collect_set("block").alias("blocks"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of docs, one row of each group of near copies: that of its smallest doc_id (and hash of text).
 
     Groups are components of links between sets of shingles, which are nodes by a hash of their own: a doc_id that recurs with
     different texts joins no groups. Two texts are linked if their distinct shingles of NEAR_SHINGLE words are alike to 0.8 or more
-    (exactly; candidates share a band). Rows without a doc_id stay; of rows with one doc_id and text, one stays.
+    (exactly; candidates share a block of their fingerprints). Rows without a doc_id stay; of rows with one doc_id and text, one stays.
     """
     make = lambda: lambda texts: list(zip(*[sketch(t) for t in texts]))
     digest, number = free_name(docs, "digest_of_text"), free_name(docs, "row_of_doc")
     rows = docs.where("doc_id is not null").withColumn(digest, F.xxhash64("text"))
-    fields = [StructField("node", LongType()), StructField("fp", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))]
+    fields = [StructField("node", LongType()), StructField("fp", ArrayType(LongType()))]
     prints = map_texts(rows, ("doc_id", digest), "text", make, fields).withColumnRenamed(digest, "digest")
-    nodes = cut(prints.groupBy("node", "fp", "bands").agg(F.min(F.struct("doc_id", "digest")).alias("row")))
+    nodes = cut(prints.groupBy("node", "fp").agg(F.min(F.struct("doc_id", "digest")).alias("row")))
 
     def verifier(members: DataFrame) -> DataFrame:
         """(node, set of hashes of shingles) of members."""
@@ -280,7 +344,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         sets = map_texts(rows.select("doc_id", digest, "text").join(texts, ["doc_id", digest]), ("node",), "text", hashes, [StructField("set", ArrayType(LongType()))])
         return cut(sets.groupBy("node").agg(F.first("set").alias("set")))
 
-    joined = wide_groups(nodes, F.col("bands"), verifier)
+    joined = wide_groups(cut(nodes.join(near_blocks(nodes), "node").select("node", "fp", "blocks")), F.col("blocks"), verifier)
     groups = nodes.select("node", "row").join(joined, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     kept = groups.agg(F.min("row").alias("row")).select("row.doc_id", F.col("row.digest").alias(digest))
     # copies of a row go before the shuffle

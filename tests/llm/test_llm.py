@@ -334,6 +334,43 @@ def test_near_copies_by_kind_of_edit(spark):
     assert want <= got and len(got - want) <= 2
 
 
+@pytest.mark.parametrize("seed", [2365, 4996])
+def test_near_copies_are_found_by_fingerprint(spark, seed):
+    """Two texts alike to just over 0.8 whose fingerprints agree in a block; 24 bands of 6 least shingle values find neither pair."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    base = words(300)
+    if seed % 4 == 1:
+        other = base[:241]
+    else:
+        other = base + words(72)
+    d = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(d).collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [4000, 20])
+def test_near_blocks_are_all_pairs_that_agree_in_a_block(spark, monkeypatch, most):
+    """In blocks of one slice and of several; nodes that are near none have no block."""
+    monkeypatch.setattr(simhash, "SLICE", most)
+    prints = wide_prints(300, 8)
+    for k in range(60):  # one block of sixty
+        prints[k][0] = prints[k][0] & ~0xFFFF
+    masks = simhash.block_masks(300)
+    near = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y)) <= simhash.WIDE_BITS
+    agree = lambda x, y: any(not any((a ^ b) & m for a, b, m in zip(x, y, mask)) for mask in masks)
+    want = [(i, j) for i in range(300) for j in range(i) if near(prints[i], prints[j]) and agree(prints[i], prints[j])]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp array<long>")
+    got = {r.node: {*r.blocks} for r in simhash.near_blocks(nodes).collect()}
+    assert len(want) > 100 and {*got} == {i for pair in want for i in pair} and all(got[i] & got[j] for i, j in want)
+
+
+def test_blocks_for_any_number_of_nodes():
+    for n, bits, least in [(0, 8, 32), (256_000, 8, 32), (256_001, 9, 39), (10**9, 20, 250)]:
+        masks = simhash.block_masks(n)
+        assert len(masks) >= least and {sum((w & (2**64 - 1)).bit_count() for w in m) for m in masks} == {bits}
+        assert (1 - (1 - simhash.DIFFERING) ** bits) ** len(masks) <= simhash.MISSED
+
+
 def components_of(links):
     least = {}
     find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
