@@ -301,14 +301,14 @@ def near_in_slice(page: pd.DataFrame, bits: int) -> pd.DataFrame:
             done = min(done + PRINTS_AT_ONCE, len(reached))
             reached, free = np.concatenate([reached, free[near]]), free[~near]
         group[reached] = np.array(xxhash.xxh64_intdigest(np.sort(node[reached]).tobytes()), dtype="<u8").view("<i8")
-    return pd.DataFrame({"node": node, "block": group})
+    return pd.DataFrame({"node": node, "block": group, "sliced": np.full(len(page), len(page) > 0 and page["slices"].iloc[0] > 1)})
 
 
 def near_blocks(nodes: DataFrame) -> DataFrame:
     """(node, blocks) of the nodes (node, fp) that agree with another one in a whole block of the fingerprint and differ from it in at most WIDE_BITS bits.
 
     Any two such nodes have a number among their blocks in common. Of a block of up to SLICE nodes only those that are joined by such steps
-    stay together, and the same nodes in other blocks are the same; of a larger one, whose slices are compared two by two, all that are near any other.
+    stay together, and the same nodes in other blocks are the same (over BLOCK_PAIRS together: those that share a node are one); of a larger one, whose slices are compared two by two, all that are near any other.
     """
     words = [F.col("fp")[w].alias(f"w{w}") for w in range(WORDS)]
     keys = [F.xxhash64(F.lit(t), *[F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for t, mask in enumerate(block_masks(nodes.count()))]
@@ -319,7 +319,14 @@ def near_blocks(nodes: DataFrame) -> DataFrame:
     sliced = sliced.withColumn("own", F.pmod(F.xxhash64("node"), "slices")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     pages = sliced.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other")
     bits = WIDE_BITS
-    found = pages.groupBy("key", "low", "high").applyInPandas(lambda page: near_in_slice(page, bits), "node bigint, block bigint")
+    found = pages.groupBy("key", "low", "high").applyInPandas(lambda page: near_in_slice(page, bits), "node bigint, block bigint, sliced boolean")
+    found = cut(found.distinct())
+    # a large group that is cut a little differently in many blocks is one
+    many = found.where("not sliced").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_PAIRS).select("block")
+    many = found.join(many, "block").select("node", "block")
+    meets = many.join(many.groupBy("node").agg(F.min("block").alias("a")), "node").where("a <> block").select("a", F.col("block").alias("b")).distinct()
+    merged = components(contracted(cut(meets))).select(F.col("node").alias("block"), "label")
+    found = found.join(merged, "block", "left").select("node", F.coalesce("label", "block").alias("block"))
     return found.groupBy("node").agg(F.collect_set("block").alias("blocks"))
 
 
