@@ -184,27 +184,35 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def page_links(x: pd.DataFrame, y: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Links between a page's nodes x (outside the component of the block's least label) and y; pairs of two such nodes count once."""
+    """Links between labels that join what the near pairs of a page join, one less than the labels that they join.
+
+    Pairs are of the page's nodes x (outside the component of the block's least label) and y; pairs of two such nodes count once.
+    Nodes whose labels are already joined are not compared.
+    """
     found: list[tuple[int, int]] = []
     if len(x) and len(y):
         fp = np.array(y["fp"].tolist(), dtype="<i8").view("<u8")
-        key, node, label = x["key"].iloc[0], y["node"].to_numpy(), y["label"].to_numpy()
+        key, node = x["key"].iloc[0], y["node"].to_numpy()
+        labels, of_label = np.unique(np.concatenate([x["label"], y["label"]]), return_inverse=True)
+        joined, theirs = np.arange(len(labels)), of_label[len(x) :]
         keys, of = np.concatenate(y["keys"].tolist()), np.repeat(np.arange(len(y)), [len(k) for k in y["keys"]])
         inside, sets = ~y["other"].to_numpy(dtype=bool), [np.asarray(s, dtype="<i8") for s in y["set"]]
         size = np.array([len(s) for s in sets])
-        for n, f, k, own, s in zip(x["node"], x["fp"], x["keys"], x["label"], x["set"]):
-            far = np.bitwise_count(fp ^ np.asarray(f, dtype="<i8").view("<u8")).sum(1) > bits
-            near = ~far & (label != own) & (inside | (node > n))
-            if near.any():  # not those that share a lesser key, whose block compares them
-                near[of[np.isin(keys, [other for other in k if other < key])]] = False
-            near = np.flatnonzero(near)
+        for n, f, k, own, s in zip(x["node"], x["fp"], x["keys"], of_label, x["set"]):
+            near = np.flatnonzero((joined[theirs] != joined[own]) & (inside | (node > n)))
+            near = near[np.bitwise_count(fp[near] ^ np.asarray(f, dtype="<i8").view("<u8")).sum(1) <= bits]
+            if len(near):  # not those that share a lesser key, whose block compares them
+                near = near[~np.isin(near, of[np.isin(keys, [other for other in k if other < key])])]
             if size.any() and len(near):
                 own_set, flat = np.sort(np.asarray(s, dtype="<i8")), np.concatenate([sets[j] for j in near])
                 at = np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)
                 shared = np.bincount(np.repeat(np.arange(len(near)), size[near]), own_set[at] == flat, len(near))
                 near = near[9 * shared >= 4 * (len(own_set) + size[near])]
-            found += [(min(n, m), max(n, m)) for m in node[near].tolist()]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            ends, label = theirs[near], int(labels[own])
+            once = ends[np.unique(joined[ends], return_index=True)[1]]
+            found += [(min(label, other), max(label, other)) for other in labels[once].tolist()]
+            joined[np.isin(joined, joined[once])] = joined[own]
+    return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
 
 def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -218,7 +226,7 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     first of those near no earlier centre to all others near it, while over BLOCK_PAIRS are near no centre, as long as a round gives as many links as it has centres, and for at most
     CENTRES rounds. (Rounds only spare comparisons: what they leave is compared all the same.) The stars of all blocks make components. Only pairs of different components can still change the groups, so these pairs of a block are compared, in pages of about PAGE by PAGE
     nodes, each pair in the block of the least key that it shares; blocks that lie in one component, however large, need none. A page gives
-    its links alone. In the worst case (a block of many texts that are nearly, but not quite, alike) that is a comparison for each pair of a block.
+    as many links of labels as join what its pairs join. In the worst case (a block of many texts that are nearly, but not quite, alike) that is a comparison for each pair of a block.
     """
     byte = [F.shiftright(F.element_at("fp", 1 + k // 8), 8 * (k % 8)).bitwiseAND(F.lit(0xFF)) for k in range(8 * WORDS)]
     keys = blocks if blocks is not None else F.array(*[F.xxhash64(F.lit(t), *[byte[k] for k in block_bytes(t)]) for t in range(BLOCKS)])
@@ -248,7 +256,6 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
 
     labels = components(contracted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).select("node", "label")
     members = cut(members.select("key", "node", "fp").join(labels, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")))
-    of = members.select("node", "label").distinct()
     # the others of a block: those outside the component of its least label; blocks of one component have none, and of two nodes one was the other's centre
     sizes = members.groupBy("key").agg(F.min("label").alias("own"), F.max("label").alias("last"), F.count("*").alias("n")).where("own <> last and n > 2")
     members = members.join(sizes.select("key", "own", F.ceil(F.col("n") / PAGE).alias("wide")), "key").withColumn("other", F.col("label") != F.col("own"))
@@ -262,13 +269,11 @@ def wide_groups(nodes: DataFrame, blocks: Column | None = None, verifier: Callab
     y = whole.toDF(*whole.columns).select(*side, page(F.col("wide")).alias("column"), every(F.col("high")).alias("row"))
     place = ["key", "row", "column"]
     bits = WIDE_BITS
-    rest = cut(x.groupBy(*place).cogroup(y.groupBy(*place)).applyInPandas(lambda left, right: page_links(left, right, bits), "a bigint, b bigint").distinct())
-    if rest.isEmpty():
-        return labels
     # components of components
-    ends = rest.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    ends = cut(ends.select("x", "y").distinct())
-    upper = components(contracted(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())).select(F.col("node").alias("own"), F.col("label").alias("top"))
+    ends = cut(x.groupBy(*place).cogroup(y.groupBy(*place)).applyInPandas(lambda left, right: page_links(left, right, bits), "x bigint, y bigint").distinct())
+    if ends.isEmpty():
+        return labels
+    upper = components(contracted(ends.toDF("a", "b"))).select(F.col("node").alias("own"), F.col("label").alias("top"))
     every_node = labels.unionByName(ends.select(F.col("x").alias("node"), F.col("x").alias("label")).unionByName(ends.select(F.col("y").alias("node"), F.col("y").alias("label")))).distinct()
     return cut(every_node.join(upper, F.col("label") == F.col("own"), "left").select("node", F.coalesce("top", "label").alias("label")))
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,6 +445,28 @@ def test_wide_groups_of_a_block_of_thousands(spark, monkeypatch):
     assert got == components_of(near) and len(near) > 10_000
 
 
+def test_a_page_gives_no_more_links_than_join_its_labels():
+    """The same groups of labels as all pairs of the page, of which there are many more; pairs that share a lesser key are another page's."""
+    rng = np.random.default_rng(13)
+    bases, prints = rng.integers(-(2**62), 2**62, (4, 100)), rng.integers(-(2**62), 2**62, (4, 4))
+    rows = []
+    for node in range(200):
+        shingles = bases[node % 4].copy()
+        shingles[rng.choice(100, rng.integers(0, 14), replace=False)] = rng.integers(-(2**62), 2**62, 1)
+        rows.append((9, node, prints[node % 4] ^ (1 << int(rng.integers(0, 60))), node if node % 20 else 0, [9] if node % 3 else [5, 9], np.unique(shingles), node % 20 > 0))
+    page = pd.DataFrame(rows, columns=["key", "node", "fp", "label", "keys", "set", "other"])
+    pairs = []
+    for i, a in enumerate(page.itertuples()):
+        for b in page.iloc[:i].itertuples():
+            shared = len({*a.set} & {*b.set})
+            if a.label != b.label and (a.node % 3 or b.node % 3) and a.node % 4 == b.node % 4 and 5 * shared >= 4 * (len(a.set) + len(b.set) - shared):
+                pairs.append((a.label, b.label))
+    want = components_of(pairs)
+    got = [*simhash.page_links(page[page["other"]], page, simhash.WIDE_BITS).itertuples(index=False, name=None)]
+    assert components_of(got) == want and all(a < b for a, b in got)
+    assert len(got) == len(want) - len({*want.values()}) < len(pairs) / 10
+
+
 def test_secrets_link_parts(spark):
     d = spark.createDataFrame([(1, "ID ABCD1234EFGH5678 near token = abcdefabcdef0123456789"), (2, "ID ABCD1234EFGH5678 alone"), (3, "token=secret: abcdefghijklmnop")], "doc_id long, text string")
     got = {r.doc_id: (r.n_assign, r.n_hex, r.spans) for r in secrets.secrets(d).collect()}
