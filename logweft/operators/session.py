@@ -27,10 +27,13 @@ def with_setting(session: Session, part: str, **values: str) -> Session:
     return session.having(**{part: session.parts[part].withColumns({k: F.lit(v) for k, v in values.items()})})
 
 
+def of_active(read: DataFrame, slices: DataFrame, images: DataFrame) -> DataFrame:
+    return read.where("status <> 'failed'").join(assets.of_active(slices, images).select("slice_id"), "slice_id", "left_semi")
+
+
 def active_read(session: Session) -> DataFrame:
     """Results of active slices that have not failed."""
-    active = assets.of_active(session.parts["slices"], session.parts["images"]).select("slice_id")
-    return session.parts["read"].where("status <> 'failed'").join(active, "slice_id", "left_semi")
+    return session.known.table(of_active, *[session.parts[name] for name in ("read", "slices", "images")])
 
 
 def base(session: Session) -> DataFrame:
@@ -47,7 +50,8 @@ def final(session: Session) -> DataFrame:
 
 def results(session: Session) -> DataFrame:
     """Final records, the first of equal ones, in the order of the log; ord is their place in it."""
-    once = counts.first_rows(final(session), ["timestamp", "player", "item"])
+    # ordered() looks at its rows twice
+    once = packing.pinned(counts.first_rows(final(session), ["timestamp", "player", "item"]))
     return timeline.ordered(once, []).select(F.col("pos").cast("long").alias("ord"), *COLUMNS)
 
 
